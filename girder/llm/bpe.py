@@ -6,8 +6,9 @@ pair of tokens would merge into it. Ranks are replayed from the lowest up; a mer
 two pairs beside it, which go into the index in turn. A pair that becomes possible at a lower rank
 than the one in hand is replayed before the rest of it, so each word ends as it would alone.
 
-Words and their tokens are kept from block to block in a table of at most ``KEPT_WORDS`` words
-that starts anew when full. A worker holds the vocabulary, that table and one block.
+Words and their tokens are kept from block to block in a table of about ``KEPT_WORDS`` words. When
+it is full it becomes the older one, from which words that occur again move to the new one. A worker
+holds the vocabulary, those two tables and one block.
 """
 
 from __future__ import annotations
@@ -15,7 +16,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from array import array
 from functools import cache
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import ddl, per_batch, tune, with_text
 
 #: Most words, and most bytes in a word, that are kept between blocks.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 KEPT_BYTES = 64
 
 
@@ -39,45 +39,47 @@ class Replay:
     """Encoder and decoder of one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
         self.pattern = regex.compile(pattern)
         self.pieces = {rank: token for token, rank in ranks.items()}
         self.bytes = [ranks.get(bytes([i])) for i in range(256)]
         if None in self.bytes:
             raise ValueError("a byte-level vocabulary has a token for every byte")
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[int, int] = {}
-
-    def pair(self, a: int, b: int) -> int:
-        """Rank that the pair merges into, or -1."""
-        key = a << 32 | b
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) > 4 * KEPT_WORDS:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.pieces[a] + self.pieces[b], -1)
-        return rank
-
-    def replay(self, words: list[bytes]) -> list[tuple[int, ...]]:
+        #: Rank that a pair of tokens merges into, by left << 32 | right: all ways to cut a token in two.
+        self.pairs = {left << 32 | right: rank for token, rank in ranks.items() for i in range(1, len(token)) if (left := ranks.get(token[:i])) is not None and (right := ranks.get(token[i:])) is not None}
+        self.of_byte = np.array(self.bytes, np.int64)
+        self.of_bytes = np.array([[self.pairs.get(a << 32 | b, -1) for b in self.bytes] for a in self.bytes], np.int64)
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def replay(self, words: list[bytes]) -> list[list[int]]:
         """Tokens of each word, all merged together."""
-        pair = self.pair
-        text = b"".join(words)
+        rank_of = self.pairs.get
+        text = np.frombuffer(b"".join(words), np.uint8)
         n = len(text)
-        token = [self.bytes[b] for b in text]
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        at = 0
-        ends = []
-        for w in words:  # a word's last token has no neighbour, nor has the next word's first
-            if w:
-                before[at] = -1
-                at += len(w)
-                after[at - 1] = -1
-            ends.append(at)
-        index: dict[int, list[int]] = {}
-        for i in range(n):
-            if after[i] >= 0 and (rank := pair(token[i], token[after[i]])) >= 0:
-                index.setdefault(rank, []).append(i)
+        if not n:
+            return [[] for _ in words]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        last = ends[sizes > 0] - 1
+        token = self.of_byte[text].tolist()
+        # A word's last token has no neighbour, nor has the next word's first.
+        nearby = np.arange(1, n + 1)
+        nearby[last] = -1
+        after = nearby.tolist()
+        nearby = np.arange(-1, n - 1)
+        nearby[last[:-1] + 1] = -1
+        before = nearby.tolist()
+        # The rank that each place's token and the next would merge into, and the places of each rank.
+        first = np.full(n, -1)
+        first[:-1] = self.of_bytes[text[:-1], text[1:]]
+        first[last] = -1
+        ranks = first.tolist()
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        values = first[order]
+        starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.empty(0, np.int64)
+        places = order.tolist()
+        index: dict[int, list[int]] = {rank: places[i:j] for rank, i, j in zip(values[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(places)], strict=True)} if len(values) else {}
         heap = list(index)
         heapq.heapify(heap)
         while heap:
@@ -86,18 +88,17 @@ class Replay:
             if places is None:
                 continue
             places.sort()
+            left = rank << 32
             for k, i in enumerate(places):
-                j = after[i]
-                # The place may have been merged away, or its pair changed, since it was indexed.
-                if token[i] < 0 or j < 0 or pair(token[i], token[j]) != rank:
+                if ranks[i] != rank:  # merged away, or another pair by now
                     continue
-                token[i] = rank
-                token[j] = -1
+                j = after[i]
+                token[i], token[j], ranks[j] = rank, -1, -1
                 end = after[i] = after[j]
                 lower = False
                 if end >= 0:
                     before[end] = i
-                    new = pair(rank, token[end])
+                    new = ranks[i] = rank_of(left | token[end], -1)
                     if new >= 0:
                         if new in index:
                             index[new].append(i)
@@ -105,9 +106,11 @@ class Replay:
                             index[new] = [i]
                             heapq.heappush(heap, new)
                         lower = new <= rank
+                else:
+                    ranks[i] = -1
                 head = before[i]
                 if head >= 0:
-                    new = pair(token[head], rank)
+                    new = ranks[head] = rank_of(token[head] << 32 | rank, -1)
                     if new >= 0:
                         if new in index:
                             index[new].append(head)
@@ -125,34 +128,40 @@ class Replay:
                             heapq.heappush(heap, rank)
                     break
         out, at = [], 0
-        for end in ends:
-            out.append(tuple(t for t in token[at:end] if t >= 0))
+        for end in ends.tolist():
+            out.append([t for t in token[at:end] if t >= 0])
             at = end
         return out
 
-    def encode(self, texts: list[str]) -> list[array]:
-        """Token ids of each text, as arrays of unsigned 32-bit integers."""
-        known = self.known
-        if len(known) > KEPT_WORDS:
-            known.clear()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text, as little-endian unsigned 32-bit integers."""
+        if len(self.known) > KEPT_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         cut = [self.pattern.findall(t) for t in texts]
         fresh: set[str] = set()
         for words in cut:
             fresh.update(words)
-        new = [w for w in fresh if w not in known]
-        long = {}
+        fresh.difference_update(known)
+        new = []
+        for w in fresh:
+            ids = older.get(w)
+            if ids is None:
+                new.append(w)
+            else:
+                known[w] = ids
+        long = []
         for w, ids in zip(new, self.replay([w.encode() for w in new]), strict=True):
-            (known if len(w) <= KEPT_BYTES else long)[w] = ids
-        out = []
-        for words in cut:
-            ids = array("I")
-            for w in words:
-                ids.extend(known[w] if len(w) <= KEPT_BYTES else long[w])
-            out.append(ids)
+            known[w] = np.array(ids, "<u4").tobytes()
+            if len(w) > KEPT_BYTES:
+                long.append(w)
+        out = [b"".join(map(known.__getitem__, words)) for words in cut]
+        for w in long:
+            del known[w]
         return out
 
-    def decode(self, ids: array | np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def decode(self, ids: bytes) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @cache
@@ -182,22 +191,27 @@ def encode_decode(docs: DataFrame, vocabulary: bytes, pattern: str, text: str =
     tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
     source, name = with_text(docs, keep, text)
-    new = [("n_tokens", pa.int64(), "long")] + [("ids", pa.list_(pa.int32()), "array<int>")] * ids + [("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")]
+    new = {"n_tokens": "long"} | ({"ids": "array<int>"} if ids else {}) | {"ids_sha256": "string", "decoded_sha256": "string"}
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = _replay(shared.value, pattern)
         texts = [t or "" for t in batch.column(name).to_pylist()]
-        rows = []
-        for t, i in zip(texts, bpe.encode(texts), strict=True):
+        encoded = bpe.encode(texts)
+        digests = []
+        for t, i in zip(texts, encoded, strict=True):
             decoded = bpe.decode(i)
             if decoded != t.encode():
                 raise ValueError("a text doesn't decode to itself")
-            raw = np.frombuffer(i, np.uint32) if len(i) else np.empty(0, np.uint32)
-            rows.append((len(i), *([raw.view(np.int32)] * ids), hashlib.sha256(raw.astype("<u4", copy=False).tobytes()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-        columns = [pa.array(list(v), k) for v, (_, k, _) in zip(zip(*rows, strict=True), new, strict=True)]
-        return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, [*keep, *(n for n, _, _ in new)])
-
-    return source.mapInArrow(per_batch(run), ddl(source.select(*keep), *(f"{n} {k}" for n, _, k in new)))
+            digests.append((hashlib.sha256(i).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+        counts = np.array([len(i) // 4 for i in encoded], np.int64)
+        columns = [pa.array(counts)]
+        if ids:
+            flat = np.frombuffer(b"".join(encoded), "<u4").view(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat)))
+        columns += [pa.array(list(v), pa.string()) for v in zip(*digests, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + columns, [*keep, *new])
+
+    return source.mapInArrow(per_batch(run), ddl(source.select(*keep), *(f"{n} {k}" for n, k in new.items())))
 
 
 def vocabulary_of(spark: SparkSession, name: str) -> tuple[bytes, str]:
