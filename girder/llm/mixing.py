@@ -5,10 +5,10 @@ is cut off goes to the others in proportion to their weights, until none is abov
 source then gives each document whole repetitions, as many as fit in its target, and once more the
 documents that come first in a seeded order, until the target is reached.
 
-The seeded order is that of a 64-bit hash. Where it has to be cut is found in two passes: sizes by
-source and bucket of the hash (65,536 of them, combined map-side), then the documents of the one
-bucket that holds the cut. So neither a source with most of the rows nor its order ever meets in
-one task.
+The seeded order is that of a hash. Where it has to be cut is found in passes: sizes by source and
+bucket of the hash, 256 of them and combined map-side, then the same within the bucket that holds
+the cut, and at last the documents of a bucket that holds a 2**24th of its source. So neither a
+source with most of the rows nor its order ever meets in one task.
 """
 
 from __future__ import annotations
@@ -24,7 +24,12 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 42
 
-_BUCKETS = 1 << 16
+#: Most sources that are broadcast, and the parts that a source is dealt in where there are more.
+MOST_BROADCAST = 50_000
+_DEALS = 64
+
+#: Bits of a place in the seeded order; bits that a pass looks at, and passes.
+_PLACES, _STEP, _PASSES = 63, 8, 3
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -51,7 +56,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def _order(doc_id: str, text: str, seed: int) -> Column:
     """Place of a document in the seeded order, from 0 up."""
-    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << 63) - 1))
+    return F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)).bitwiseAND(F.lit((1 << _PLACES) - 1))
 
 
 def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -62,29 +67,44 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     ``whole`` times.
     """
     sized = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order(doc_id, text, seed).alias("at")))
-    bucket = F.shiftright("at", 47).cast("int").alias("bucket")
-    steps = saved(sized.groupBy("source", bucket).agg(F.sum("size").alias("n")))
     aims = saved(
-        targets(steps.groupBy("source").agg(F.sum("n").alias("source_size")), weights, share, max_epochs)
+        targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, max_epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
         .withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     )
-    run = Window.partitionBy("source").orderBy("bucket")
-    before = steps.withColumn("before", F.sum("n").over(run) - F.col("n"))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    cuts = saved(before.alias("b").join(aims.alias("a"), same("b", "a")).where("n > 0 and before < rest and rest <= before + n").select("b.source", "bucket", (F.col("rest") - F.col("before")).alias("left")))
-    # Documents of the bucket that holds the cut; equal places (repeated rows) go together.
-    c = cuts.withColumnsRenamed({"source": "in_source", "bucket": "in_bucket"})
-    edge = sized.withColumn("bucket", bucket).join(c, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("bucket") == F.col("in_bucket")))
-    edge = edge.groupBy("source", "bucket", "left", "at").agg(F.sum("size").alias("n"))
+    # Each pass finds, for each source, the bucket of the order in which the rest of its target ends.
+    cuts = aims.select("source", F.lit(0).cast("long").alias("bucket"), F.col("rest").alias("left")).where("left > 0")
+    for low in range(_PLACES - _STEP, _PLACES - _PASSES * _STEP - 1, -_STEP):
+        found = _joined(sized, cuts).where(F.shiftright("at", low + _STEP) == F.col("bucket"))
+        sums = found.groupBy("source", "left", F.shiftright("at", low).alias("bucket")).agg(F.sum("size").alias("n"))
+        before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
+        cuts = saved(before.where("n > 0 and before < left and left <= before + n").select("source", "bucket", (F.col("left") - F.col("before")).alias("left")))
+    # Documents of the last bucket; equal places (repeated rows) go together. A place is taken if
+    # that brings the source nearer to its target.
+    edge = _joined(sized, cuts).where(F.shiftright("at", low) == F.col("bucket")).groupBy("source", "bucket", "left", "at").agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("source").orderBy("at"))
-    # A place is taken if that brings the source nearer to its target.
     inside = edge.withColumn("upto", upto).where(F.col("upto") - F.col("n") / 2 <= F.col("left")).groupBy("source").agg(F.max("at").alias("edge"))
-    ends = cuts.alias("c").join(inside.alias("i"), same("c", "i"), "left").select("c.source", F.coalesce("i.edge", F.shiftleft(F.col("c.bucket").cast("long"), 47) - 1).alias("cut"))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+    ends = cuts.alias("c").join(inside.alias("i"), same("c", "i"), "left").select("c.source", F.coalesce("i.edge", F.shiftleft("c.bucket", low) - 1).alias("cut"))
     out = aims.alias("a").join(ends.alias("e"), same("a", "e"), "left").select("a.source", "source_size", "target", "whole", F.coalesce("e.cut", F.lit(-1).cast("long")).alias("cut"))
     return sized, saved(out)
 
 
+def _joined(rows: DataFrame, of_source: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``of_source``, which has a row for each source at most.
+
+    The sources are broadcast if they are few. Else rows go by source and a part of their place in
+    the order, so that a common source is dealt over many tasks.
+    """
+    right = of_source.withColumnRenamed("source", "__of")
+    match = F.col("source").eqNullSafe(F.col("__of"))
+    if of_source.count() <= MOST_BROADCAST:
+        return rows.join(F.broadcast(right), match).drop("__of")
+    right = right.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALS - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(F.col("at"), F.lit(_DEALS)).cast("int"))
+    return dealt.join(right.withColumnRenamed("__deal", "__dealt"), match & (F.col("__deal") == F.col("__dealt"))).drop("__of", "__deal", "__dealt")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """``(doc_id, source, size, source_size, target, repeats, taken)`` for every row of ``docs``.
 
@@ -96,13 +116,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     sized, aims = plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
     repeats = F.col("whole") + (F.col("at") <= F.col("cut")).cast("int")
-    return sized.alias("d").join(aims.alias("a"), F.col("d.source").eqNullSafe(F.col("a.source"))).select("doc_id", "d.source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    return _joined(sized, aims).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mix`` says, with their columns."""
     _, aims = plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
-    given = aims.select(F.col("source").alias("__source"), F.col("whole").alias("__whole"), F.col("cut").alias("__cut"))
-    times = F.col("__whole") + (_order(doc_id, text, seed) <= F.col("__cut")).cast("int")
-    rows = docs.join(given, F.col(source).eqNullSafe(F.col("__source"))).withColumn("__times", times).where("__times > 0")
-    return rows.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*(f"`{c}`" for c in docs.columns))
+    times = F.col("whole") + (F.col("at") <= F.col("cut")).cast("int")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("source"), _order(doc_id, text, seed).alias("at"))
+    return _joined(rows, aims).where(times > 0).withColumn("turn", F.explode(F.sequence(F.lit(1), times))).select("row.*")
