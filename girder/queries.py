@@ -1,10 +1,532 @@
-"""Queries by name, and the SQL that gives the same rows."""
+"""Queries over the tables at hand by name, and DuckDB SQL that gives the same rows.
+
+The tables have no drawings, so each query shows its operators on the nearest table. Queries
+without SQL run code that no SQL expresses; their operators are tested on hand-made rows.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import numbers as N
+from .functions import restoring
+from .functions import text as T
+from .operators import audit, cleaning, clustering, learning, relational, reports, retrieval, tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _list(words: list[str]) -> str:
+    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+
+
+# The fold of the functions in DuckDB: it keeps đ.
+_FOLD = "replace(replace(strip_accents({}), 'đ', 'd'), 'Đ', 'D')"
+_MASS = ", ".join(f"({d}, {kg})" for d, kg in N.BAR_MASS.items())
+
+
+# --- Schedules and bills
+
+
+@query(f"""
+WITH mass(d, kg) AS (VALUES {_MASS}),
+rows AS (SELECT p_size AS d, l_quantity * coalesce(kg, p_size * p_size / 162.0) AS kg FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN mass ON d = p_size)
+SELECT coalesce(CASE WHEN d <= 10 THEN 'd_le_10' WHEN d <= 18 THEN 'd_le_18' ELSE 'd_gt_18' END, 'ALL') AS bucket, count(*) AS n, round(sum(kg), 2) AS kg FROM rows
+GROUP BY ROLLUP (CASE WHEN d <= 10 THEN 'd_le_10' WHEN d <= 18 THEN 'd_le_18' ELSE 'd_gt_18' END)""")
+def bbs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars by diameter bucket and in all. Quantities are summed by part before the join."""
+    by_part = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("metres"))
+    rows = N.bar_mass_join(spark, by_part.join(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), "p_size")
+    bucket = F.when(F.col("p_size") <= 10, "d_le_10").when(F.col("p_size") <= 18, "d_le_18").otherwise("d_gt_18")
+    made = rows.select(bucket.alias("bucket"), "n", (F.col("metres") * F.col("unit_mass")).alias("kg"))
+    return made.rollup("bucket").agg(F.sum("n").alias("n"), F.round(F.sum("kg"), 2).alias("kg")).select(F.coalesce("bucket", F.lit("ALL")).alias("bucket"), "n", "kg")
+
+
+@query("""
+SELECT l_returnflag AS flag, count(*) AS total_items, count(*) FILTER (l_extendedprice > 0 AND abs(l_quantity * p_retailprice - l_extendedprice) / l_extendedprice > 0.05) AS warned, round(sum(l_extendedprice), 2) AS total_amount
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
+def boq_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """quantity x price against the amount."""
+    rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    off = (F.col("l_extendedprice") > 0) & (F.abs(F.col("l_quantity") * F.col("p_retailprice") - F.col("l_extendedprice")) / F.col("l_extendedprice") > 0.05)
+    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("total_items"), F.count_if(off).alias("warned"), F.round(F.sum("l_extendedprice"), 2).alias("total_amount"))
+
+
+_SCHEDULE_HEADER = ["Số hiệu", "Đường kính (mm)", "Chiều dài (mm)", "Số lượng", "Trọng lượng (kg)"]
+
+
+def _schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bar schedule for each order: length is 100 mm for each unit, weights of some rows are off or blank."""
+    joined = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size"), "l_partkey")
+    length, count = (F.col("l_quantity") * 100).cast("int"), F.col("l_linenumber")
+    kg = length / 1000 * count * N.bar_mass(F.col("p_size"))
+    weight = F.when(F.col("l_returnflag") == "A", F.format_string("%.4f", kg)).when(F.col("l_returnflag") == "R", F.format_string("%.4f", kg * 1.2)).otherwise("")
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", F.array(F.concat(F.lit("K"), count.cast("string")), F.col("p_size").cast("string"), length.cast("string"), count.cast("string"), weight).alias("cells"))
+    made = joined.groupBy(F.col("l_orderkey").alias("table_id")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["cells"]).alias("rows"))
+    return made.withColumns({"header": F.array(*map(F.lit, _SCHEDULE_HEADER)), "title": F.lit("Thống kê cốt thép"), "number_style": F.lit("us"), "page": F.lit(1), "sheet": F.lit(""), "sheet_title": F.lit("")})
+
+
+_SCHEDULE_SQL = f"""
+WITH mass(d, kg) AS (VALUES {_MASS}),
+base AS (SELECT l_orderkey AS t, l_linenumber AS q, p_size AS d0, CAST(l_quantity * 100 AS INTEGER) AS len, l_returnflag AS f,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag) AS i, len / 1000.0 * q * coalesce(kg, p_size * p_size / 162.0) AS own
+  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN mass ON d = p_size),
+shares AS (SELECT t, count(*) AS n, avg((d0 >= 3)::INT) AS share FROM base GROUP BY t),
+carried AS (SELECT base.*, n, last_value(CASE WHEN d0 >= 3 THEN d0 END IGNORE NULLS) OVER (PARTITION BY t ORDER BY i ROWS UNBOUNDED PRECEDING) AS d FROM base JOIN shares USING (t)),
+rows AS (SELECT c.*, len / 1000.0 * q * coalesce(kg, c.d * c.d / 162.0) AS calc, CASE f WHEN 'A' THEN round(own, 4) WHEN 'R' THEN round(own * 1.2, 4) END AS w, kg IS NULL AS strange FROM carried c LEFT JOIN mass m ON m.d = c.d WHERE c.d IS NOT NULL),
+sums AS (SELECT t, n, sum(w) FILTER (w > 0) AS reported, sum(calc) FILTER (w > 0) AS compared, count(*) FILTER (coalesce(w, 0) = 0) AS blank FROM rows WHERE len > 0 GROUP BY t, n)"""
+
+
+@query(f"""{_SCHEDULE_SQL}
+SELECT kind, count(*) AS n FROM (
+  SELECT 'duong_kinh_la' AS kind FROM rows WHERE strange
+  UNION ALL SELECT 'lech_trong_luong' FROM rows WHERE len > 0 AND w > 0 AND abs(w - calc) / w > 0.08
+  UNION ALL SELECT 'o_khoi_luong_trong' FROM rows JOIN sums USING (t) WHERE len > 0 AND coalesce(w, 0) = 0 AND reported > 0 AND blank > 0 AND blank <= greatest(5, floor(0.3 * sums.n))
+  UNION ALL SELECT 'lech_tong_bang' FROM sums WHERE reported > 0 AND compared > 0 AND abs(reported - compared) / reported > 0.05) GROUP BY 1""")
+def audit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit, from cells as text to warnings by kind."""
+    return audit.audit_rebar(_schedules(spark, sf_dir)).warnings.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""{_SCHEDULE_SQL}
+SELECT count(*) AS bars, sum(q)::BIGINT AS pieces, round(sum(calc), 0) AS kg FROM rows WHERE len > 0""")
+def rebar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bars of all schedules."""
+    items = audit.audit_rebar(_schedules(spark, sf_dir)).items
+    return items.agg(F.count(F.lit(1)).alias("bars"), F.sum("quantity").alias("pieces"), F.round(F.sum("total_weight_kg"), 0).alias("kg"))
+
+
+@query("""
+SELECT l_returnflag AS flag, count(*) AS n, sum(carried)::BIGINT AS total FROM (
+  SELECT l_returnflag, last_value(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate ROWS UNBOUNDED PRECEDING) AS carried FROM lineitem)
+WHERE carried IS NOT NULL GROUP BY 1""")
+def diameter_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last value above, where there is one."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").rowsBetween(Window.unboundedPreceding, 0)
+    carried = F.last(F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("int")), True).over(order)
+    return _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), carried.alias("carried")).where("carried is not null").groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.sum("carried").alias("total"))
+
+
+_TITLES = ["Bảng thống kê cốt thép dầm", "Tổng hợp khối lượng", "Danh mục bản vẽ", "Tọa độ tim cọc", "", "Dự toán"]
+_HEADERS = [["Ký hiệu", "Đường kính (mm)", "Chiều dài (mm)", "Số lượng"], ["Hạng mục", "Đơn vị", "Khối lượng", "Đơn giá", "Thành tiền"], ["Tên bản vẽ", "Tỷ lệ"], ["a", "b"], ["Chủ đầu tư", "Giám đốc"]]
+
+
+def _categories_sql() -> str:
+    """The classifier as a join with its words: each word that occurs adds its points."""
+    words = [(c, k, w) for k, lists in (("t", tables.TITLE_WORDS), ("h", tables.HEADER_WORDS)) for c, ws in lists.items() for w in ws]
+    order = list(tables.TITLE_WORDS)
+    value = lambda *x: "(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in x) + ")"
+    fold = lambda x: "upper(" + _FOLD.format(x) + ")"
+    some = lambda ws: "(" + " OR ".join(f"len(list_filter(hs, lambda h: contains(h, '{w}'))) > 0" for w in ws) + ")"
+    signature = f"({some(tables.DIAMETER_WORDS)} AND {some(tables.LENGTH_WORDS)} AND ({' + '.join(f'{some(g)}::INT' for g in tables.SIGNATURE)}) >= 2)"
+    return f"""
+WITH titles(i, title) AS (VALUES {", ".join(value(i, t) for i, t in enumerate(_TITLES))}),
+headers(j, hs0) AS (VALUES {", ".join(f"({j}, [{_list(h)}])" for j, h in enumerate(_HEADERS))}),
+words(category, kind, word) AS (VALUES {", ".join(value(*w) for w in words)}),
+points(category, title_points, header_points, place) AS (VALUES {", ".join(value(c, tables.TITLE_POINTS[c], tables.HEADER_POINTS[c], i) for i, c in enumerate(order))}),
+made AS (SELECT p_partkey, {fold("title")} AS t, list_transform(hs0, lambda h: {fold("h")}) AS hs, array_to_string(hs0, ' ') AS raw, upper(p_name) AS cell FROM part JOIN titles ON i = p_size % {len(_TITLES)} JOIN headers ON j = p_partkey % {len(_HEADERS)}),
+full_ AS (SELECT *, array_to_string(hs, ' ') AS joined, {signature} AS sig FROM made),
+scored AS (SELECT p_partkey, c.category, place, CASE WHEN max((kind = 't' AND contains(t, word))::INT) > 0 THEN max(title_points) ELSE 0 END + max(header_points) * count(*) FILTER (kind = 'h' AND contains(joined, word))
+  + CASE c.category WHEN 'rebar_schedule' THEN max(CASE WHEN regexp_matches(raw, '[ΦφØø]|Fi|fi') THEN 40 ELSE 0 END) + max(CASE WHEN sig THEN 70 ELSE 0 END) WHEN 'boq' THEN max(CASE WHEN sig THEN -60 ELSE 0 END) ELSE 0 END AS score
+  FROM full_ CROSS JOIN points c JOIN words w ON w.category = c.category GROUP BY p_partkey, c.category, place),
+best AS (SELECT p_partkey, category, score, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, place) AS r FROM scored),
+veto AS (SELECT p_partkey, ({" + ".join(f"contains(t || ' ' || joined || ' ' || cell, '{w}')::INT" for w in tables.TITLE_BLOCK)}) >= 2 AS v FROM full_)
+SELECT CASE WHEN v THEN 'title_block' WHEN score < 40 THEN 'general' ELSE category END AS category, CASE WHEN v THEN 0.99 WHEN score < 40 THEN 0.3 ELSE least(1.0, score / 100.0) END::DOUBLE AS confidence, count(*) AS n
+FROM best JOIN veto USING (p_partkey) WHERE r = 1 GROUP BY 1, 2"""
+
+
+@query(_categories_sql())
+def keyword_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2, K6: tables by category, with titles and headers in turn by part."""
+    pick = lambda xs, i: F.element_at(F.array(*xs), (i % len(xs) + 1).cast("int"))
+    made = _read(spark, sf_dir, "part").select(pick(list(map(F.lit, _TITLES)), F.col("p_size")).alias("title"), pick([F.array(*map(F.lit, h)) for h in _HEADERS], F.col("p_partkey")).alias("header"), F.array(F.array("p_name")).alias("rows"))
+    return tables.classified(made).groupBy("category", "confidence").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT coalesce(p_brand, 'all') AS category, count(*) AS n FROM part GROUP BY ROLLUP (p_brand)")
+def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """by category and in all, in one pass."""
+    return tables.category_counts(_read(spark, sf_dir, "part").select(F.col("p_brand").alias("category")))
+
+
+@query("""
+SELECT l_returnflag AS flag, count(*) AS n, round(sum((CAST(l_quantity AS INTEGER) + 2) * l_linenumber + 150), 2) AS total, 'formula' AS kind FROM lineitem GROUP BY 1""")
+def length_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths written as expressions, evaluated."""
+    text = F.format_string("(%d+2)*%d+150 mm", F.col("l_quantity").cast("int"), F.col("l_linenumber"))
+    made = _read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), N.parse_length(text, "us").alias("l"))
+    return made.groupBy("flag", F.col("l.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l.value"), 2).alias("total"))
+
+
+_EDGES = [0.0, 1000.0, 5000.0, 20000.0, 50000.0, 100000.0]
+
+
+@query(f"""
+SELECT greatest(0, least(len(list_filter({_EDGES}, lambda e: e <= l_extendedprice)) - 1, {len(_EDGES) - 2}))::INTEGER AS band, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1""")
+def bisect_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: bands between edges, kept inside the grid."""
+    band = tables.bisect(F.array(*map(F.lit, _EDGES)), F.col("l_extendedprice"))
+    return _read(spark, sf_dir, "lineitem").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("""
+SELECT CASE WHEN l_quantity * 10 < 30 AND l_discount > 0.05 THEN 'scan' WHEN l_quantity * 10 < 200 AND l_extendedprice >= 2000 THEN 'vector_text' WHEN l_quantity * 30 >= 1100 AND l_extendedprice >= 30000 THEN 'mixed_shx' ELSE '' END AS route, count(*) AS n FROM lineitem GROUP BY 1""")
+def ocr_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that applies."""
+    route = relational.ocr_route(F.col("l_quantity") * 10, F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0), F.when(F.col("l_extendedprice") >= 30000, 3000).when(F.col("l_extendedprice") >= 2000, 20).otherwise(0), F.col("l_quantity") * 30)
+    return _read(spark, sf_dir, "lineitem").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- Numbers and text
+
+_WORDS_SQL = "unnest(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda w: w <> ''))"
+_CELL = rf"(?i)^\s*[-+]?\s*\d[\d.,\s]*\s*(?:{N.UNITS})?\s*$"
+
+
+def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("w"))
+
+
+@query(f"""
+WITH words AS (SELECT lang, {_WORDS_SQL} AS w FROM documents),
+cells AS (SELECT lang, w, regexp_extract(w, '^\\s*([-+]?)\\s*\\d', 1) AS sign, rtrim(regexp_extract(w, '^\\s*[-+]?\\s*(\\d[\\d.,]*)', 1), '.,') AS s FROM words WHERE regexp_matches(w, '{_CELL}')),
+plain AS (SELECT lang, sign || CASE WHEN contains(s, ',') AND contains(s, '.') THEN CASE WHEN strpos(reverse(s), ',') < strpos(reverse(s), '.') THEN replace(replace(s, '.', ''), ',', '.') ELSE replace(s, ',', '') END
+  WHEN len(s) - len(replace(s, ',', '')) > 1 THEN replace(s, ',', '') WHEN contains(s, ',') THEN replace(s, ',', '.') WHEN len(s) - len(replace(s, '.', '')) > 1 OR regexp_full_match(s, '\\d{{1,3}}\\.\\d{{3}}') THEN replace(s, '.', '') ELSE s END AS v FROM cells)
+SELECT w.lang, w.n AS n_words, coalesce(c.n, 0) AS n_cells, c.total FROM (SELECT lang, count(*) AS n FROM words GROUP BY 1) w LEFT JOIN (SELECT lang, count(*) AS n, round(sum(try_cast(v AS DOUBLE)) FILTER (try_cast(v AS DOUBLE) < 1e6), 2) AS total FROM plain GROUP BY 1) c USING (lang)""")
+def number_cell_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are numbers, and the sum, in the Vietnamese style, of those below a million."""
+    w = F.col("w")
+    value = N.parse_number(w, "vn")
+    return _document_words(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n_words"), F.count_if(N.is_number_cell(w)).alias("n_cells"), F.round(F.sum(F.when(value < 1e6, value)), 2).alias("total"))
+
+
+@query(f"""
+WITH votes AS (SELECT source, regexp_matches(w, '\\d\\.\\d{{3}},\\d+$') OR regexp_matches(w, '(^|[^\\d.])\\d+,\\d{{1,2}}$') OR regexp_matches(w, '^\\d{{1,3}}(?:\\.\\d{{3}})+$') AS vn,
+  regexp_matches(w, '\\d,\\d{{3}}\\.\\d+$') OR regexp_matches(w, '(^|[^\\d,])\\d+\\.\\d{{1,2}}$') AS us FROM (SELECT source, {_WORDS_SQL} AS w FROM documents))
+SELECT source, count(*) FILTER (vn) AS vn, count(*) FILTER (us AND NOT vn) AS us, CASE WHEN count(*) FILTER (us AND NOT vn) > count(*) FILTER (vn) THEN 'us' ELSE 'vn' END AS number_style FROM votes GROUP BY 1""")
+def number_style_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of words for a way to write numbers, by source."""
+    vn, us = N.style_votes(F.col("w"))
+    return _document_words(spark, sf_dir).groupBy("source").agg(F.count_if(vn).alias("vn"), F.count_if(us).alias("us"), N.number_style(F.col("w")).alias("number_style"))
+
+
+@query("SELECT page_id, url FROM pages WHERE page_id BETWEEN 1 AND 3 OR page_id = 5 OR page_id BETWEEN 20 AND 40")
+def page_range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1, V4: the pages of ``1-3,5,20-40``; the range is the feature."""
+    return relational.select_pages(_read(spark, sf_dir, "pages").select("page_id", "url"), "1-3,5,20-40", "page_id")
+
+
+@query(f"SELECT doc_id, md5(lower({_FOLD.format('text')})) AS folded FROM documents")
+def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without marks."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_lower(F.col("text"))).alias("folded"))
+
+
+@query(f"""
+WITH t AS (SELECT lang, regexp_extract_all(lower(text), '{T.TOKEN}') AS ts FROM documents)
+SELECT lang, sum(len(ts))::BIGINT AS n_tokens, sum(len(list_distinct(ts)))::BIGINT AS n_distinct, max(len(ts))::INTEGER AS most FROM t GROUP BY 1""")
+def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of texts."""
+    ts = T.tokens(F.col("text"))
+    return _read(spark, sf_dir, "documents").select("lang", F.size(ts).alias("n"), F.size(F.array_distinct(ts)).alias("d")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_distinct"), F.max("n").alias("most"))
+
+
+@query(f"SELECT doc_id, md5(translate(text, '{T._TCVN3[0]}', '{T._TCVN3[1]}')) AS decoded FROM documents")
+def tcvn3_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letter by letter."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.tcvn3(F.col("text"))).alias("decoded"))
+
+
+@query(f"""
+WITH words AS (SELECT lang, w, {_FOLD.format("lower(w)")} AS f FROM (SELECT lang, {_WORDS_SQL} AS w FROM documents)),
+m AS (SELECT lang, w, len(w) AS n, len(regexp_replace(w, '[^\\p{{L}}]', '', 'g')) AS alpha, len(regexp_replace(f, '[^aeiouy]', '', 'g')) AS vowels,
+  regexp_matches(regexp_replace(w, '[-_]', '', 'g'), '\\p{{Lu}}') AND NOT regexp_matches(w, '\\p{{Ll}}') AS up FROM words)
+SELECT lang, count(*) AS n, count(*) FILTER (n >= 8 AND alpha > 0 AND ((vowels < alpha * 0.08 AND alpha >= 12) OR (up AND alpha >= 12 AND vowels < alpha * 0.2) OR (up AND n >= 16 AND NOT regexp_matches(w, '[^\\x00-\\x7F]')))) AS garbled FROM m GROUP BY 1""")
+def garbled_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that look garbled."""
+    return _document_words(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_garbled(F.col("w"))).alias("garbled"))
+
+
+@query(f"""
+WITH lines AS (SELECT lang, trim(unnest(string_split(text, chr(10)))) AS t FROM documents),
+m AS (SELECT lang, t, regexp_matches(t, '^(?:[+\\-*•]|[a-zđ]\\)\\s|\\d{{1,2}}[.)]?\\s+\\S|[IVX]{{1,4}}[.)]?\\s+[A-ZÀ-Ỹ])') AS item, regexp_matches(t, '{_CELL}') AND NOT regexp_matches(t, '\\d\\s+\\d') AS number,
+  regexp_matches(t, '^(?:[0-9]{{1,2}}\\.(?:[0-9]{{1,2}}\\.?)*\\s+[A-ZÀ-Ỹ]|[IVX]{{1,5}}\\.\\s|[a-e]\\)\\s)') AS named,
+  len(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 8 AND NOT regexp_matches(t, '\\p{{Ll}}') AND NOT regexp_matches(t, '\\d{{3,}}') AS capitals FROM lines)
+SELECT lang, count(*) AS n, count(*) FILTER (t <> '' AND len(t) <= 120 AND NOT number AND (named OR capitals)) AS headings, count(*) FILTER (item) AS items FROM m GROUP BY 1""")
+def heading_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are headings or items of a list."""
+    lines = _read(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("t"))
+    return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_heading(F.col("t"))).alias("headings"), F.count_if(T.is_list_item(F.col("t"))).alias("items"))
+
+
+@query("""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<script\\b.*?</script\\s*>', ' ', 'gis'), '<style\\b.*?</style\\s*>', ' ', 'gis'), '<!--.*?-->', ' ', 'gs') AS t FROM pages),
+b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_replace(t, '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS t FROM a)
+SELECT page_id, md5(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text_md5 FROM b""")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of fragments by expressions alone."""
+    return _read(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text_md5"))
+
+
+@query("SELECT doc_id, 'Trang ' || n_chars || CASE WHEN lang <> '' THEN ' • Bản vẽ ' || lang ELSE '' END || CASE WHEN source <> '' THEN ' • ' || source ELSE '' END AS citation FROM documents")
+def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a text comes from, without what is blank."""
+    return _read(spark, sf_dir, "documents").select("doc_id", T.citation(F.col("n_chars"), F.col("lang"), F.col("source")).alias("citation"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(replace(regexp_replace(text, '(?m)^\\|[\\s:|-]+\\|[ \\t]*\\n?', '', 'g'), '|', ' '), '[ \\t]+', ' ', 'g'))) AS text_md5 FROM documents")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown without rules and bars."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaning.page_text(F.col("text"))).alias("text_md5"))
+
+
+# --- Review and duplicates
+
+
+@query(f"""
+WITH words AS (SELECT lang, doc_id % 100 / 100.0 AS score, {_WORDS_SQL} AS t FROM documents)
+SELECT lang, count(*) AS n, count(*) FILTER (CASE WHEN contains(t, '⟦') THEN NOT ({" OR ".join(f"contains(upper(t), '{w}')" for w in cleaning.STAMP_CONFLICT)}) WHEN score >= 0.75 THEN false WHEN regexp_matches(t, '[一-鿿]') THEN false WHEN regexp_matches(t, '^[^\\p{{L}}\\p{{Nd}}]+$') THEN false
+  WHEN {" OR ".join(f"contains(upper(t), '{w}')" for w in cleaning.STAMP)} THEN false WHEN regexp_matches(t, '^\\d{{1,6}}([.,]\\d*)?$') AND score >= 0.5 THEN false WHEN len(t) = 1 AND score >= 0.5 THEN false WHEN regexp_matches(t, '^[A-Za-z0-9_]{{2,4}}$') AND score >= 0.5 THEN false
+  WHEN regexp_matches(t, '^(D|Φ|φ)\\d{{1,2}}[A-Za-z0-9_() -]*$') AND score >= 0.55 THEN false WHEN {" OR ".join(f"contains(upper(t), '{w}')" for w in cleaning.LABELS)} THEN false WHEN t IN ({_list(cleaning.NOISE)}) THEN false ELSE true END) AS to_review FROM words GROUP BY 1""")
+def review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """readings that a person has to look at."""
+    score = (F.col("doc_id") % 100) / 100
+    review = cleaning.needs_review(F.col("w"), score, F.lit(False), F.lit(False))
+    return _document_words(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(review).alias("to_review"))
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
+def exact_dedup_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by hash."""
+    return cleaning.exact_dedup(_read(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH lines AS (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, left(trim(regexp_replace(lower({_FOLD.format("t")}), '\\s+', ' ', 'g')), 60) ORDER BY i) AS n FROM lines)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (n = 1) AS distinct_lines FROM k GROUP BY 1""")
+def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a document that are first of their key."""
+    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("slot", "text"))
+    first = cleaning.first_by_key(lines, "doc_id", "slot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_lines"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(first, "doc_id")
+
+
+@query()
+def notes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes sections with merged bullets; each document's lines stand for a section."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## Ghi chú\n- "), F.replace("text", F.lit("\n"), F.lit("\n- "))).alias("markdown"))
+    return cleaning.postprocessed(docs).select("doc_id", "lines_before", "lines_after", "chars_before", "chars_after")
+
+
+@query()
+def restored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Restoring accents, stage by stage."""
+    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(restoring.restored(F.col("text"))).alias("restored"))
+
+
+# --- Retrieval
+
+QUESTIONS = [(1, "khối lượng thép KC-05 and the"), (2, "ghi chú mác bê tông license"), (3, "bản vẽ số hiệu src1 GNU"), (4, "une des dans que"), (5, "nicht und der MIT"), (6, "thống kê | bảng ---")]
+
+
+def _search_sql() -> str:
+    asks = lambda words: "(" + " OR ".join(f"contains(lower(q), '{w}') OR contains(fq, '{w}')" for w in words) + ")"
+    return f"""
+WITH q(query_id, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)}),
+f AS (SELECT *, lower({_FOLD.format("q")}) AS fq FROM q),
+a AS (SELECT query_id, list_distinct(list_filter(list_concat(regexp_extract_all(lower(q), '{T.TOKEN}'), regexp_extract_all(fq, '{T.TOKEN}')), lambda t: len(t) > 1)) AS tokens, {asks(retrieval.TABLE_WORDS)} AS for_table, {asks(retrieval.SPEC_WORDS)} AS for_spec, {asks(retrieval.TITLE_WORDS)} AS for_title FROM f),
+tok AS (SELECT query_id, unnest(tokens) AS token FROM a),
+d AS (SELECT doc_id, text, lower(text) AS t, lower({_FOLD.format("text")}) AS ft, lower(source) AS s, lower(lang) AS dr FROM documents),
+p AS (SELECT doc_id, query_id, sum(least(((len(t) - len(replace(t, token, ''))) / len(token))::INT + ((len(ft) - len(replace(ft, token, ''))) / len(token))::INT, 5) * 1.5 + CASE WHEN contains(s, token) THEN 4 ELSE 0 END
+  + CASE WHEN (contains(dr, token) OR contains(t, token)) AND regexp_matches(token, '{retrieval.CODE}') THEN 12 ELSE 0 END) AS score FROM d CROSS JOIN tok GROUP BY 1, 2),
+w AS (SELECT p.doc_id, a.query_id, (score + CASE WHEN for_table AND contains(text, '|') AND (contains(text, '---') OR contains(text, 'STT')) THEN 6 ELSE 0 END + CASE WHEN for_table AND (contains(s, 'thống kê') OR contains(s, 'thong ke')) THEN 5 ELSE 0 END
+  + CASE WHEN for_spec AND (contains(s, 'ghi chú') OR contains(t, 'tiêu chuẩn') OR contains(t, 'cb')) THEN 5 ELSE 0 END + CASE WHEN for_title AND (dr <> '' OR contains(s, 'khung tên') OR contains(t, 'chủ đầu tư')) THEN 6 ELSE 0 END) * CASE WHEN len(trim(text)) < 40 THEN 0.5 ELSE 1 END AS score
+  FROM p JOIN a USING (query_id) JOIN d ON d.doc_id = p.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM w WHERE score > 0.5)
+SELECT query_id, rank, doc_id, score::DOUBLE AS score FROM r WHERE rank <= 4"""
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.col("n_chars").alias("page"), "text", F.col("source").alias("section"), F.col("lang").alias("so_hieu_ban_ve"))
+    return retrieval.search(docs, spark.createDataFrame(QUESTIONS, "query_id int, query string"))
+
+
+@query(_search_sql())
+def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four best documents for each of six questions; the number four is the feature."""
+    return _found(spark, sf_dir).select("query_id", "rank", "doc_id", "score")
+
+
+@query()
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction, history and evidence for each question."""
+    history = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("int").alias("query_id"), "turn", "role", "text")
+    return retrieval.prompts(_found(spark, sf_dir), spark.createDataFrame(QUESTIONS, "query_id int, query string"), history)
+
+
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from the three best documents."""
+    return retrieval.extractive_answers(_found(spark, sf_dir))
+
+
+@query()
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of documents with where they come from."""
+    pages = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), F.col("lang").alias("sheet"), F.regexp_replace("text", r"(?m)^(\S+)\.$", "### $1").alias("markdown"))
+    return retrieval.chunks(pages, most=1000)
+
+
+@query("""
+SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 4""")
+def history_last4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last four turns of each conversation."""
+    return retrieval.last_turns(_read(spark, sf_dir, "conversations")).select("conv_id", "turn", "role")
+
+
+@query("""
+SELECT conv_id, md5(string_agg('[' || role || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY turn, '[' || role || ']' || chr(10) || text)) AS transcript_md5 FROM conversations GROUP BY 1""")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as texts."""
+    return reports.transcripts(_read(spark, sf_dir, "conversations")).select("conv_id", F.md5("transcript").alias("transcript_md5"))
+
+
+# --- Learning
+
+_LATIN = "[A-Za-zÀ-ỹĐđ]+"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{_LATIN}'), lambda w: len(w) >= 2) AS ws FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i:i + 1])) AS g FROM t WHERE len(ws) >= 2 UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) FROM t WHERE len(ws) >= 3),
+k AS (SELECT doc_id, lower(array_to_string(g, ' ')) AS term FROM g WHERE len(list_filter(g, lambda w: lower(w) IN ({_list(learning.STOPWORDS)}))) = 0 AND len(list_filter(g, lambda w: lower(w) <> lower({_FOLD.format("w")}))) >= (len(g) + 1) // 2),
+c AS (SELECT doc_id, term, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT term, sum(n)::BIGINT AS cnt FROM c GROUP BY 1""")
+def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of words with marks that documents repeat."""
+    return learning.terms(_read(spark, sf_dir, "documents"))
+
+
+@query(f"""
+WITH t AS (SELECT lang, regexp_extract_all(text, '{_LATIN}') AS ws, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls FROM documents),
+m AS (SELECT lang, len(ws) AS n, len(list_filter(ws, lambda w: len(w) <= 7 AND regexp_matches(lower({_FOLD.format("w")}), '^(?:{T.ONSETS})?[aeiouy]{{1,3}}(?:{T.CODAS})?$'))) AS valid, len(list_filter(ws, lambda w: lower(w) <> lower({_FOLD.format("w")}))) AS marked,
+  len(list_filter(ls, lambda x: len(x) <= 2)) / greatest(1, len(ls)) AS tiny FROM t)
+SELECT lang, count(*) AS n, count(*) FILTER (n >= 30 AND marked >= n * 0.25 AND tiny < 0.08) AS marked, count(*) FILTER (n >= 30 AND valid >= n * 0.9 AND marked >= n * 0.25 AND tiny < 0.08) AS trusted, sum(valid)::BIGINT AS syllables FROM m GROUP BY 1""")
+def trust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that read like Vietnamese, and how near the others come."""
+    w = T.words(F.col("text"))
+    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    made = _read(spark, sf_dir, "documents").select("lang", learning.is_trustworthy(F.col("text")).alias("ok"), F.size(w).alias("n"), F.size(F.filter(w, T.is_loose_syllable)).alias("valid"), F.size(F.filter(w, T.has_marks)).alias("m"), (F.size(F.filter(lines, lambda x: F.length(x) <= 2)) / F.greatest(F.lit(1), F.size(lines))).alias("tiny"))
+    return made.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n") >= 30) & (F.col("m") >= F.col("n") * 0.25) & (F.col("tiny") < 0.08)).alias("marked"), F.count_if("ok").alias("trusted"), F.sum("valid").alias("syllables"))
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{_LATIN}'))) AS term FROM documents),
+c AS (SELECT term, count(*) AS cnt, count(DISTINCT doc_id) AS docs, {_FOLD.format("term")} AS key FROM w GROUP BY 1),
+r AS (SELECT *, sum(cnt) OVER (PARTITION BY key) AS total, row_number() OVER (PARTITION BY key ORDER BY cnt DESC, docs DESC, term DESC) AS n FROM c)
+SELECT key, term AS phrase FROM r WHERE n = 1 AND cnt >= 3 AND docs >= 2 AND cnt >= total * 0.9 AND term <> key""")
+def verified_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each folded word the way it is nearly always written."""
+    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("doc_id", F.lower("w").alias("term")).count()
+    return learning.verified_map(words.groupBy("term").agg(F.sum("count").alias("cnt"), F.count(F.lit(1)).alias("docs")))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def anti_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are not in the history."""
+    return learning.not_learned(_read(spark, sf_dir, "documents").select("doc_id", "lang"), _read(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("""
+WITH d AS (SELECT date_trunc('day', ts) AS epoch, count(*) AS pages, count(DISTINCT user_id) AS new_terms FROM events GROUP BY 1)
+SELECT epoch, pages, new_terms, sum(new_terms) OVER (ORDER BY epoch)::BIGINT AS cumulative_terms, sum(pages) OVER (ORDER BY epoch)::BIGINT AS cumulative_pages FROM d""")
+def epoch_cumulative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums over epochs, one row for each day."""
+    return learning.epochs(_read(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("epoch")).agg(F.count(F.lit(1)).alias("pages"), F.countDistinct("user_id").alias("new_terms")))
+
+
+# --- Clusters, reports, streams
+
+
+@query("""
+WITH m AS (SELECT event_type, value, coalesce(value - lag(value) OVER (PARTITION BY event_type ORDER BY value, event_id) > 0.05, false)::INT AS cut, event_id FROM events),
+c AS (SELECT event_type, value, sum(cut) OVER (PARTITION BY event_type ORDER BY value, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cluster FROM m)
+SELECT event_type, cluster, count(*) AS n, round(avg(value), 6) AS mean FROM c GROUP BY 1, 2""")
+def edge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains of values."""
+    return clustering.edge_clusters(_read(spark, sf_dir, "events"), "event_type", "value", 0.05, ["event_id"]).withColumn("mean", F.round("mean", 6))
+
+
+@query("""
+WITH d AS (SELECT lang, quality, count(*) AS docs, sum(length(text))::BIGINT AS md_chars FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2)
+SELECT b.lang AS doc, b.docs AS docs_base, b.md_chars AS md_chars_base, coalesce(o.docs, 0) AS docs_other, coalesce(o.md_chars, 0) AS md_chars_other, coalesce(o.docs, 0) - b.docs AS docs_delta, coalesce(o.md_chars, 0) - b.md_chars AS md_chars_delta
+FROM (SELECT * FROM d WHERE quality = 0) b LEFT JOIN (SELECT * FROM d WHERE quality = 1) o USING (lang)""")
+def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs by document; here labels make the runs and languages the documents."""
+    made = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy(F.col("lang").alias("doc"), "quality").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"))
+    return reports.compare(made.where("quality = 0"), made.where("quality = 1"), names=("docs", "md_chars"))
+
+
+@query("""
+SELECT coalesce(source, 'ALL') AS doc, count(*) AS docs, sum(length(text))::BIGINT AS md_chars, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS breaks FROM documents GROUP BY ROLLUP (source)""")
+def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F8: metrics and their total, in one pass."""
+    rows = _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
+    return reports.with_total(rows)
+
+
+@query("""
+SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1""")
+def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last row of each key."""
+    return reports.latest(_read(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query("""
+SELECT date_trunc('second', ts) AS second, arg_max(event_type, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS message, count(*) AS n FROM events GROUP BY 1""")
+def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last message of each second; the batch twin of the stream."""
+    return relational.throttled(_read(spark, sf_dir, "events"), "event_type").withColumn("second", F.col("second").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey AS doc_id, 1 AS page FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def missing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was asked for and not made."""
+    page = F.lit(1).alias("page")
+    return reports.missing_pages(_read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), page), _read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), page))
+
+
+@query("""
+SELECT l_suppkey, rank, l_extendedprice FROM (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) WHERE rank <= 3""")
+def topk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the three dearest lines of each supplier; the number three is the feature."""
+    return relational.top_k(_read(spark, sf_dir, "lineitem"), ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 3).select("l_suppkey", "rank", "l_extendedprice")
+
+
+@query("""
+SELECT user_id AS page, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, 0.0::DOUBLE AS image_share FROM events GROUP BY 1""")
+def object_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: objects of a page by kind."""
+    return relational.object_stats(_read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("kind"), F.lit(1.0).alias("area"), F.lit(100.0).alias("page_area")), ["click", "view", "purchase"])
