@@ -68,5 +68,11 @@ def ddl(df: DataFrame, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *more])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out anew if it has fewer partitions than there are cores; only for small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

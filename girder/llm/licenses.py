@@ -33,10 +33,15 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def _rows(spark: SparkSession, values: list[tuple[str, str]], *names: str) -> DataFrame:
+    """A table of two columns of constants."""
+    made = F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in values))
+    return spark.range(1).select(F.explode(made).alias("x")).select("x.*")
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     """``(digest, license)`` of known texts; of equal texts under several names the first in order."""
-    table = spark.createDataFrame(known, "license string, text string")
-    return table.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
+    return _rows(spark, known, "license", "text").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: list[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -54,14 +59,14 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     # The known texts are a parameter; their digests by name are a constant of the plan.
     pairs = [(r.digest, r.license) for r in names.collect()]
     lookup = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
-    # Lines longer than the longest known text can't be one, but for what canonical forms leave out;
-    # a line is only worth a digest if it has a word that some known text begins with.
-    begin = sorted({canon.split(" ")[0] for (canon,) in spark.createDataFrame(known, "license string, text string").select(canonical(F.col("text"))).collect() if canon})
+    # A line is only worth a digest if it begins with a word that some known text begins with, in
+    # either spelling.
+    begin = sorted({canon.split(" ")[0].replace("license", "licen[cs]e") for (canon,) in _rows(spark, known, "license", "text").select(canonical(F.col("text"))).collect() if canon})
     worth = r"(?i)^[^a-z0-9]*(" + "|".join(begin) + r")([^a-z0-9]|$)"
     candidates = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(worth))
     lines = F.array_sort(F.array_distinct(F.filter(F.transform(candidates, lambda x: F.element_at(lookup, digest(x))), lambda x: x.isNotNull())))
     scanned = docs.select(*keep, digest(F.col(text)).alias("digest"), F.coalesce(lines, F.array().cast("array<string>")).alias("line_licenses"))
-    small = spark.createDataFrame(pairs, "digest string, license string")
+    small = _rows(spark, pairs, "digest", "license")
     return scanned.join(F.broadcast(small) if len(pairs) <= MOST_BROADCAST else small, "digest", "left").select(*keep, "digest", "license", "line_licenses")
 
 

@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, html_extract, ivfpq, kdtree, licenses, mixing, repetition, simhash, wordpiece
-from .common import table
+from .common import spread, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+    return html_extract.main_texts(spread(table(spark, sf_dir, "pages")))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    out = simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
@@ -25,7 +25,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repetition.repetition_rules(table(spark, sf_dir, "documents"))
+    out = repetition.repetition_rules(spread(table(spark, sf_dir, "documents")))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")
 
 
@@ -48,7 +48,7 @@ def op7_kdtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(table(spark, sf_dir, "documents"), *bpe.vocabulary_of(spark, VOCABULARY), ids=False)
+    return bpe.encode_decode(spread(table(spark, sf_dir, "documents")), *bpe.vocabulary_of(spark, VOCABULARY), ids=False)
 
 
 def op9_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_ivfpq(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_wordpiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wordpiece.token_counts(table(spark, sf_dir, "documents"), bpe.vocabulary_of(spark, VOCABULARY)[0])
+    return wordpiece.token_counts(spread(table(spark, sf_dir, "documents")), bpe.vocabulary_of(spark, VOCABULARY)[0])
 
 
 QUERIES = {
