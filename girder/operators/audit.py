@@ -129,6 +129,8 @@ def audit_rebar(tables: DataFrame) -> Audit:
     rows = rows.withColumn("computed", ~F.col("bad") & F.coalesce((F.col("length") > 0) & (F.col("qty") > 0), F.lit(False))).withColumn("run", F.when(F.col("computed"), metres * F.col("qty"))).withColumn("calc", F.col("run") * bar_mass(F.col("d")))
     tl = parse_length(cell("c_total"), F.col("style"))["value"]
     rows = rows.withColumn("tl", F.when(F.col("computed"), tl)).withColumn("tlm", F.when(F.col("tl") > 0, to_metres(F.col("tl"), F.coalesce("total_unit", "len_unit"))))
+    # Rows are read for warnings, sums and items; what is kept of them is found anew if it is lost.
+    rows = rows.persist()
     off = lambda a, b, of: F.abs(a - b) / of
     known = F.col("d").isin(*BAR_MASS)
     symbolic = ~F.col("bad") & ~F.col("shaped") & (F.col("kind") == "symbolic") & ~F.coalesce(cell("c_len").rlike(DIAMETER_LEGEND), F.lit(False))

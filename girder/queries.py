@@ -35,6 +35,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts take long to go through, dealt out if it has fewer partitions than cores.
+
+    A table of many files is left as it is.
+    """
+    df, cores = _read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def _list(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
 
@@ -205,7 +214,7 @@ _CELL = rf"(?i)^\s*[-+]?\s*\d[\d.,\s]*\s*(?:{N.UNITS})?\s*$"
 
 
 def _document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.explode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("w"))
+    return _texts(spark, sf_dir).select("doc_id", "lang", "source", F.explode(F.filter(F.split("text", "[ \n]+"), lambda w: w != "")).alias("w"))
 
 
 @query(f"""
@@ -240,7 +249,7 @@ def page_range_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, md5(lower({_FOLD.format('text')})) AS folded FROM documents")
 def accent_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without marks."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.fold_lower(F.col("text"))).alias("folded"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.fold_lower(F.col("text"))).alias("folded"))
 
 
 @query(f"""
@@ -249,13 +258,13 @@ SELECT lang, sum(len(ts))::BIGINT AS n_tokens, sum(len(list_distinct(ts)))::BIGI
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of texts."""
     ts = T.tokens(F.col("text"))
-    return _read(spark, sf_dir, "documents").select("lang", F.size(ts).alias("n"), F.size(F.array_distinct(ts)).alias("d")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_distinct"), F.max("n").alias("most"))
+    return _texts(spark, sf_dir).select("lang", F.size(ts).alias("n"), F.size(F.array_distinct(ts)).alias("d")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_distinct"), F.max("n").alias("most"))
 
 
 @query(f"SELECT doc_id, md5(translate(text, '{T._TCVN3[0]}', '{T._TCVN3[1]}')) AS decoded FROM documents")
 def tcvn3_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Letter by letter."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.tcvn3(F.col("text"))).alias("decoded"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.tcvn3(F.col("text"))).alias("decoded"))
 
 
 @query(f"""
@@ -276,7 +285,7 @@ m AS (SELECT lang, t, regexp_matches(t, '^(?:[+\\-*•]|[a-zđ]\\)\\s|\\d{{1,2}}
 SELECT lang, count(*) AS n, count(*) FILTER (t <> '' AND len(t) <= 120 AND NOT number AND (named OR capitals)) AS headings, count(*) FILTER (item) AS items FROM m GROUP BY 1""")
 def heading_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that are headings or items of a list."""
-    lines = _read(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("t"))
+    lines = _texts(spark, sf_dir).select("lang", F.explode(F.split("text", "\n")).alias("t"))
     return lines.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_heading(F.col("t"))).alias("headings"), F.count_if(T.is_list_item(F.col("t"))).alias("items"))
 
 
@@ -286,19 +295,19 @@ b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(regexp_rep
 SELECT page_id, md5(trim(regexp_replace(t, '\\s+', ' ', 'g'))) AS text_md5 FROM b""")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of fragments by expressions alone."""
-    return _read(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text_md5"))
+    return _texts(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("text_md5"))
 
 
 @query("SELECT doc_id, 'Trang ' || n_chars || CASE WHEN lang <> '' THEN ' • Bản vẽ ' || lang ELSE '' END || CASE WHEN source <> '' THEN ' • ' || source ELSE '' END AS citation FROM documents")
 def context_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where a text comes from, without what is blank."""
-    return _read(spark, sf_dir, "documents").select("doc_id", T.citation(F.col("n_chars"), F.col("lang"), F.col("source")).alias("citation"))
+    return _texts(spark, sf_dir).select("doc_id", T.citation(F.col("n_chars"), F.col("lang"), F.col("source")).alias("citation"))
 
 
 @query("SELECT doc_id, md5(trim(regexp_replace(replace(regexp_replace(text, '(?m)^\\|[\\s:|-]+\\|[ \\t]*\\n?', '', 'g'), '|', ' '), '[ \\t]+', ' ', 'g'))) AS text_md5 FROM documents")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markdown without rules and bars."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaning.page_text(F.col("text"))).alias("text_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(cleaning.page_text(F.col("text"))).alias("text_md5"))
 
 
 # --- Review and duplicates
@@ -319,7 +328,7 @@ def review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT sha256(text) AS sha256, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1")
 def exact_dedup_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts by hash."""
-    return cleaning.exact_dedup(_read(spark, sf_dir, "documents"))
+    return cleaning.exact_dedup(_texts(spark, sf_dir))
 
 
 @query(f"""
@@ -328,22 +337,22 @@ k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, left(trim(regexp_re
 SELECT doc_id, count(*) AS lines, count(*) FILTER (n = 1) AS distinct_lines FROM k GROUP BY 1""")
 def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document that are first of their key."""
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("slot", "text"))
+    lines = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("slot", "text"))
     first = cleaning.first_by_key(lines, "doc_id", "slot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_lines"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(first, "doc_id")
 
 
 @query()
 def notes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes sections with merged bullets; each document's lines stand for a section."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("## Ghi chú\n- "), F.replace("text", F.lit("\n"), F.lit("\n- "))).alias("markdown"))
-    return cleaning.postprocessed(docs).select("doc_id", "lines_before", "lines_after", "chars_before", "chars_after")
+    """Notes sections with merged bullets; the sentences of each benchmark text stand for bullets."""
+    items = _texts(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("## Ghi chú\n- "), F.regexp_replace("text", r"[.\n]\s*", "\n- ")).alias("markdown"))
+    return cleaning.postprocessed(items).select("item_id", "lines_before", "lines_after", "chars_before", "chars_after")
 
 
 @query()
 def restored_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restoring accents, stage by stage."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(restoring.restored(F.col("text"))).alias("restored"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(restoring.restored(F.col("text"))).alias("restored"))
 
 
 # --- Retrieval
@@ -369,7 +378,7 @@ SELECT query_id, rank, doc_id, score::DOUBLE AS score FROM r WHERE rank <= 4"""
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").alias("ord"), F.col("n_chars").alias("page"), "text", F.col("source").alias("section"), F.col("lang").alias("so_hieu_ban_ve"))
+    docs = _texts(spark, sf_dir).select("doc_id", F.col("doc_id").alias("ord"), F.col("n_chars").alias("page"), "text", F.col("source").alias("section"), F.col("lang").alias("so_hieu_ban_ve"))
     return retrieval.search(docs, spark.createDataFrame(QUESTIONS, "query_id int, query string"))
 
 
@@ -395,7 +404,7 @@ def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of documents with where they come from."""
-    pages = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), F.col("lang").alias("sheet"), F.regexp_replace("text", r"(?m)^(\S+)\.$", "### $1").alias("markdown"))
+    pages = _texts(spark, sf_dir).select(F.col("doc_id").alias("source"), F.lit(1).alias("page"), F.col("lang").alias("sheet"), F.regexp_replace("text", r"(?m)^(\S+)\.$", "### $1").alias("markdown"))
     return retrieval.chunks(pages, most=1000)
 
 
@@ -426,7 +435,7 @@ c AS (SELECT doc_id, term, count(*) AS n FROM k GROUP BY 1, 2 HAVING count(*) >=
 SELECT term, sum(n)::BIGINT AS cnt FROM c GROUP BY 1""")
 def term_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of words with marks that documents repeat."""
-    return learning.terms(_read(spark, sf_dir, "documents"))
+    return learning.terms(_texts(spark, sf_dir))
 
 
 @query(f"""
@@ -438,7 +447,7 @@ def trust_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that read like Vietnamese, and how near the others come."""
     w = T.words(F.col("text"))
     lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
-    made = _read(spark, sf_dir, "documents").select("lang", learning.is_trustworthy(F.col("text")).alias("ok"), F.size(w).alias("n"), F.size(F.filter(w, T.is_loose_syllable)).alias("valid"), F.size(F.filter(w, T.has_marks)).alias("m"), (F.size(F.filter(lines, lambda x: F.length(x) <= 2)) / F.greatest(F.lit(1), F.size(lines))).alias("tiny"))
+    made = _texts(spark, sf_dir).select("lang", learning.is_trustworthy(F.col("text")).alias("ok"), F.size(w).alias("n"), F.size(F.filter(w, T.is_loose_syllable)).alias("valid"), F.size(F.filter(w, T.has_marks)).alias("m"), (F.size(F.filter(lines, lambda x: F.length(x) <= 2)) / F.greatest(F.lit(1), F.size(lines))).alias("tiny"))
     return made.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("n") >= 30) & (F.col("m") >= F.col("n") * 0.25) & (F.col("tiny") < 0.08)).alias("marked"), F.count_if("ok").alias("trusted"), F.sum("valid").alias("syllables"))
 
 
@@ -449,14 +458,14 @@ r AS (SELECT *, sum(cnt) OVER (PARTITION BY key) AS total, row_number() OVER (PA
 SELECT key, term AS phrase FROM r WHERE n = 1 AND cnt >= 3 AND docs >= 2 AND cnt >= total * 0.9 AND term <> key""")
 def verified_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each folded word the way it is nearly always written."""
-    words = _read(spark, sf_dir, "documents").select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("doc_id", F.lower("w").alias("term")).count()
+    words = _texts(spark, sf_dir).select("doc_id", F.explode(T.words(F.col("text"))).alias("w")).groupBy("doc_id", F.lower("w").alias("term")).count()
     return learning.verified_map(words.groupBy("term").agg(F.sum("count").alias("cnt"), F.count(F.lit(1)).alias("docs")))
 
 
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are not in the history."""
-    return learning.not_learned(_read(spark, sf_dir, "documents").select("doc_id", "lang"), _read(spark, sf_dir, "labels"), "doc_id")
+    return learning.not_learned(_texts(spark, sf_dir).select("doc_id", "lang"), _read(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""
@@ -485,7 +494,7 @@ SELECT b.lang AS doc, b.docs AS docs_base, b.md_chars AS md_chars_base, coalesce
 FROM (SELECT * FROM d WHERE quality = 0) b LEFT JOIN (SELECT * FROM d WHERE quality = 1) o USING (lang)""")
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two runs by document; here labels make the runs and languages the documents."""
-    made = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy(F.col("lang").alias("doc"), "quality").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"))
+    made = _texts(spark, sf_dir).join(_read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy(F.col("lang").alias("doc"), "quality").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"))
     return reports.compare(made.where("quality = 0"), made.where("quality = 1"), names=("docs", "md_chars"))
 
 
@@ -493,7 +502,7 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(source, 'ALL') AS doc, count(*) AS docs, sum(length(text))::BIGINT AS md_chars, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS breaks FROM documents GROUP BY ROLLUP (source)""")
 def doc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F8: metrics and their total, in one pass."""
-    rows = _read(spark, sf_dir, "documents").groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
+    rows = _texts(spark, sf_dir).groupBy(F.col("source").alias("doc")).agg(F.count(F.lit(1)).alias("docs"), F.sum(F.length("text")).alias("md_chars"), F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))).alias("breaks"))
     return reports.with_total(rows)
 
 
