@@ -7,11 +7,16 @@ what needs statistics over cells is exploded and aggregated by table.
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import is_number_cell, number_style, parse_number
+from ..functions.numbers import UNITS, is_number_cell, number_style, parse_number
 from ..functions.text import count_hits, fold_key, fold_upper, has_any
+from .clustering import lines_of
 
 # Folded words of titles and headers by category of table.
 TITLE_WORDS = {
@@ -160,6 +165,77 @@ def grid_rows(items: DataFrame, grids: DataFrame) -> DataFrame:
     return by_cell.select("doc_id", "page", "grid_id", grid.alias("grid"))
 
 
+_NUMBER = re.compile(rf"\s*[-+]?\s*\d[\d.,\s]*\s*(?:{UNITS})?\s*", re.I)
+
+
+def _is_number(text: str) -> bool:
+    return bool(_NUMBER.fullmatch(text)) and not re.search(r"\d\s+\d", text.strip())
+
+
+def banded_rows(items: pd.DataFrame, row_edges: list[float], col_edges: list[float], cells: list[tuple[float, float, float, float]]) -> list[list[str]]:
+    """E5 for one grid, with what plain bisecting leaves out.
+
+    Bands without numbers above the first one with numbers are the header: a text in a merged cell
+    stands in every column that the cell covers. A band over 3.5 heights is cut into rows at lines
+    with texts in two or more columns; other lines go to the nearest of those within 3 heights.
+    """
+    rows_n, cols_n = len(row_edges) - 1, len(col_edges) - 1
+    place = lambda edges, v, n: int(min(max(np.searchsorted(edges, v, "right") - 1, 0), n - 1))
+    centres = [(a + b) / 2 for a, b in zip(col_edges, col_edges[1:], strict=False)]
+    height = float(items["h"].median()) if len(items) else 12.0
+    items = items.assign(r=[place(row_edges, v, rows_n) for v in items["cy"]], c=[place(col_edges, v, cols_n) for v in items["cx"]]).sort_values(["cy", "x_min"])
+
+    def covered(item) -> list[int]:
+        cell = next((b for b in cells if b[0] <= item.cx <= b[2] and b[1] <= item.cy <= b[3]), None)
+        return [j for j, x in enumerate(centres) if cell and cell[0] - 2 <= x <= cell[2] + 2] or [item.c]
+
+    def row(part: pd.DataFrame, header: bool = False) -> list[str]:
+        texts: list[list[str]] = [[] for _ in range(cols_n)]
+        for item in part.itertuples():
+            for c in covered(item) if header else [item.c]:
+                texts[c].append(item.text)
+        return [" ".join(t) for t in texts]
+
+    out: list[list[str]] = []
+    data = False
+    for r, band in items.groupby("r", sort=True):
+        if not any(_is_number(t) for t in band["text"]):
+            out.append(row(band, header=not data))
+            continue
+        data = True
+        lines = [band[np.array(at) == k] for at in [lines_of(band["cy"].to_numpy(float), band["h"].to_numpy(float))] for k in range(int(max(at)) + 1)]
+        keys = [line for line in lines if line["c"].nunique() >= 2]
+        if row_edges[r + 1] - row_edges[r] <= 3.5 * height or not keys:
+            out.append(row(band))
+            continue
+        groups = [[key] for key in keys]
+        for line in lines:
+            if line["c"].nunique() < 2:
+                gaps = [abs(key["cy"].mean() - line["cy"].mean()) for key in keys]
+                k = int(np.argmin(gaps))
+                groups[k].append(line) if gaps[k] <= 3 * height else groups.append([line])
+        parts = [pd.concat(g).sort_values(["cy", "x_min"]) for g in groups]
+        out += [row(part) for part in sorted(parts, key=lambda part: part["y_min"].min())]
+    return out
+
+
+def grid_tables(items: DataFrame, grids: DataFrame) -> DataFrame:
+    """E5: (doc_id, page, grid_id, n_items, grid): rows of texts of ruled grids, one grid at a time.
+
+    ``grids``: doc_id, page, grid_id, row_edges, col_edges, cells (array of x0, y0, x1, y1).
+    """
+    inside = (F.col("cx") >= F.get("col_edges", F.lit(0))) & (F.col("cx") <= F.element_at("col_edges", -1)) & (F.col("cy") >= F.get("row_edges", F.lit(0))) & (F.col("cy") <= F.element_at("row_edges", -1))
+    both = items.select("doc_id", "page", "text", "cx", "cy", "x_min", "y_min", "h").join(grids.select("doc_id", "page", "grid_id", "row_edges", "col_edges", "cells"), ["doc_id", "page"]).where(inside)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        first = f.iloc[0]
+        grid = banded_rows(f, list(first["row_edges"]), list(first["col_edges"]), [tuple(c.values() if isinstance(c, dict) else c) for c in first["cells"]])
+        return pd.DataFrame([(first["doc_id"], first["page"], first["grid_id"], len(f), grid)], columns=["doc_id", "page", "grid_id", "n_items", "grid"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in both.schema}
+    return both.groupBy("doc_id", "page", "grid_id").applyInPandas(run, f"doc_id {kinds['doc_id']}, page {kinds['page']}, grid_id {kinds['grid_id']}, n_items int, grid array<array<string>>")
+
+
 def to_markdown(header: Column, rows: Column) -> Column:
     """A table in Markdown; headers without a name are numbered."""
     safe = lambda c: F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*\n\s*", " ")
