@@ -26,6 +26,14 @@ BENDS = (90, 135, 180)
 NUMBER_CELL = rf"(?iu)^\s*[-+]?\s*\d[\d.,\s]*\s*(?:{UNITS})?\s*$"
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` mentions it.
+
+    Nested conditions would repeat it in the generated code, until that is too large to compile.
+    """
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _null() -> Column:
     return F.lit(None).cast("double")
 
@@ -59,40 +67,45 @@ def parse_number(text: Column, style: Column | str = "unknown") -> Column:
     """A cell's number in its table's style; null if it isn't one."""
     style = F.lit(style) if isinstance(style, str) else style
     sign = F.regexp_extract(text, r"^\s*([-+]?)\s*\d", 1)
-    s = F.regexp_replace(F.regexp_extract(text, r"^\s*[-+]?\s*(\d[\d.,]*)", 1), r"[.,]+$", "")
-    commas, points = F.regexp_count(s, F.lit(",")), F.regexp_count(s, F.lit(r"\."))
-    plain = (
-        F.when((commas > 0) & (points > 0), _both(s))
-        .when((commas > 1) | ((style == "us") & s.rlike(r"^\d{1,3}(,\d{3})+$")), F.replace(s, F.lit(","), F.lit("")))
-        .when(commas > 0, F.replace(s, F.lit(","), F.lit(".")))
-        .when((points > 1) | ((style == "vn") & s.rlike(r"^\d{1,3}\.\d{3}$")), F.replace(s, F.lit("."), F.lit("")))
-        .otherwise(s)
-    )
-    return F.when(is_number_cell(text), F.concat(sign, plain).try_cast("double"))
+    digits = F.regexp_replace(F.regexp_extract(text, r"^\s*[-+]?\s*(\d[\d.,]*)", 1), r"[.,]+$", "")
+
+    def plain(s: Column) -> Column:
+        commas, points = F.regexp_count(s, F.lit(",")), F.regexp_count(s, F.lit(r"\."))
+        return (
+            F.when((commas > 0) & (points > 0), _both(s))
+            .when((commas > 1) | ((style == "us") & s.rlike(r"^\d{1,3}(,\d{3})+$")), F.replace(s, F.lit(","), F.lit("")))
+            .when(commas > 0, F.replace(s, F.lit(","), F.lit(".")))
+            .when((points > 1) | ((style == "vn") & s.rlike(r"^\d{1,3}\.\d{3}$")), F.replace(s, F.lit("."), F.lit("")))
+            .otherwise(s)
+        )
+
+    return F.when(is_number_cell(text), F.concat(sign, let(digits, plain)).try_cast("double"))
 
 
 def extract_number(text: Column) -> Column:
     """C4: the first number anywhere in a text; a lone comma is a decimal mark."""
-    s = F.regexp_replace(F.trim(text), " ", "")
-    s = F.when(s.contains(".") & s.contains(","), _both(s)).otherwise(F.replace(s, F.lit(","), F.lit(".")))
+    s = let(F.replace(F.trim(text), F.lit(" "), F.lit("")), lambda s: F.when(F.contains(s, F.lit(".")) & F.contains(s, F.lit(",")), _both(s)).otherwise(F.replace(s, F.lit(","), F.lit("."))))
     return F.nullif(F.regexp_extract(s, r"[-+]?\d*\.?\d+", 0), F.lit("")).try_cast("double")
 
 
 def length_number(token: Column, style: Column | str = "unknown") -> Column:
     """A number as length cells write it, broken thousands included."""
     style = F.lit(style) if isinstance(style, str) else style
-    t = F.trim(token)
-    commas, points = F.regexp_count(t, F.lit(",")), F.regexp_count(t, F.lit(r"\."))
-    plain = (
-        F.when((commas > 0) & (points > 0), _both(t))
-        .when((style != "us") & t.rlike(r"^\d{1,3}(?:,\d{3})+,\d{1,2}$"), F.regexp_replace(F.regexp_replace(t, r",(\d{1,2})$", r".$1"), ",", ""))
-        .when((style != "us") & t.rlike(r"^\d{1,3}(?:\.\d{3})+\.\d{1,2}$"), F.regexp_replace(t, r"\.(?=\d{3})", ""))
-        .when((commas == 1) & (style != "us") & t.rlike(r",[^,]{0,2}$"), F.replace(t, F.lit(","), F.lit(".")))
-        .when(commas > 0, F.replace(t, F.lit(","), F.lit("")))
-        .when((style == "vn") & t.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(t, F.lit("."), F.lit("")))
-        .otherwise(t)
-    )
-    return F.when(plain.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"), plain.try_cast("double"))
+
+    def plain(t: Column) -> Column:
+        commas, points = F.regexp_count(t, F.lit(",")), F.regexp_count(t, F.lit(r"\."))
+        return (
+            F.when(t.rlike(r"^\d+$"), t)
+            .when((commas > 0) & (points > 0), _both(t))
+            .when((style != "us") & t.rlike(r"^\d{1,3}(?:,\d{3})+,\d{1,2}$"), F.regexp_replace(F.regexp_replace(t, r",(\d{1,2})$", r".$1"), ",", ""))
+            .when((style != "us") & t.rlike(r"^\d{1,3}(?:\.\d{3})+\.\d{1,2}$"), F.regexp_replace(t, r"\.(?=\d{3})", ""))
+            .when((commas == 1) & (style != "us") & t.rlike(r",[^,]{0,2}$"), F.replace(t, F.lit(","), F.lit(".")))
+            .when(commas > 0, F.replace(t, F.lit(","), F.lit("")))
+            .when((style == "vn") & t.rlike(r"^\d{1,3}\.\d{3}$"), F.replace(t, F.lit("."), F.lit("")))
+            .otherwise(t)
+        )
+
+    return let(let(F.trim(token), plain), lambda p: F.when(p.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"), p.try_cast("double")))
 
 
 def _py_number(token: str, style: str) -> float | None:
@@ -175,13 +188,18 @@ def parse_length(raw: Column, style: Column | str = "unknown") -> Column:
     style = F.lit(style) if isinstance(style, str) else style
     s = F.regexp_replace(F.lower(F.trim(raw)), r"(?U)(chieu dai|chiều dài|gom moc|gồm móc|l\s*=|cd\s*=|mm|cm|\bm\b)", "")
     s = F.regexp_replace(F.translate(s, "×x", "**"), "[–—−]", "-")
-    letters, marks = s.rlike("[a-zà-ỹ]"), s.rlike(r"[+*()]")
-    computed = _evaluated(F.when(marks & ~letters, s), style)
-    number = length_number(s, style)
     empty = raw.isNull() | (F.trim(raw) == "")
-    value = F.when(empty | letters, _null()).when(marks, F.nullif(computed, F.lit(float("nan")))).otherwise(number)
-    kind = F.when(empty, "empty").when(letters, "symbolic").when(marks, F.when(value.isNull(), "symbolic").otherwise("formula")).otherwise(F.when(value.isNull(), "empty").otherwise("number"))
-    return F.struct(value.alias("value"), kind.alias("kind"))
+    # Only an expression goes to Python; what it is worth comes back beside the cleaned text.
+    computed = F.nullif(_evaluated(let(s, lambda x: F.when(x.rlike(r"[+*()]") & ~x.rlike("[a-zà-ỹ]"), x)), style), F.lit(float("nan")))
+
+    def read(x: Column) -> Column:
+        letters, marks, number = x["s"].rlike("[a-zà-ỹ]"), x["s"].rlike(r"[+*()]"), length_number(x["s"], style)
+        value = F.when(letters, _null()).when(marks, x["v"]).otherwise(number)
+        kind = lambda v: F.when(letters, "symbolic").when(marks, F.when(v.isNull(), "symbolic").otherwise("formula")).otherwise(F.when(v.isNull(), "empty").otherwise("number"))
+        return let(value, lambda v: F.struct(v.alias("value"), kind(v).alias("kind")))
+
+    none = F.struct(_null().alias("value"), F.lit("empty").alias("kind"))
+    return F.when(empty, none).otherwise(let(F.struct(s.alias("s"), computed.alias("v")), read))
 
 
 def length_unit(header: Column) -> Column:
@@ -198,7 +216,7 @@ def to_metres(length: Column, unit: Column) -> Column:
 def diameter(text: Column) -> Column:
     """A cell that is a diameter and nothing else, 0 or 3 to 60."""
     v = F.replace(F.regexp_extract(text, r"(?iu)^\s*(?:D|Φ|Ø|Đ|ñ|fi|phi)?\s*(\d+(?:[.,]\d+)?)\s*(?:mm)?\s*$", 1), F.lit(","), F.lit(".")).try_cast("double")
-    return F.when((v == 0) | v.between(3, 60), v)
+    return let(v, lambda x: F.when((x == 0) | x.between(3, 60), x))
 
 
 def shape_segments(text: Column, style: Column | str = "unknown", dia: Column | None = None) -> Column:

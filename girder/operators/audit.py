@@ -57,8 +57,10 @@ def roles(tables: DataFrame) -> DataFrame:
     """One row for each table with its columns' places and units; ``trusted`` is false where the
     header's diameter column holds no diameters."""
     h = folded_header(F.col("header"))
+    # Rows of cells stay out of the joins below; only places of columns go through them.
+    data = tables.select("table_id", "rows")
     named = tables.select(
-        "table_id", "rows", F.coalesce("number_style", F.lit("unknown")).alias("style"), h.alias("h"), F.coalesce(*(first_column(h, [w]) for w in MARK)).alias("c_mark"), first_column(h, DIAMETER).alias("c_header"), first_column(h, LENGTH).alias("c_len"),
+        "table_id", F.coalesce("number_style", F.lit("unknown")).alias("style"), h.alias("h"), F.coalesce(*(first_column(h, [w]) for w in MARK)).alias("c_mark"), first_column(h, DIAMETER).alias("c_header"), first_column(h, LENGTH).alias("c_len"),
         quantity_column(h).alias("c_qty"), all_columns(h, QUANTITY).alias("c_qtys"), first_column(h, TOTAL_LENGTH).alias("c_total"), all_columns(h, WEIGHT).alias("c_weights"), first_column(h, SHAPE).alias("c_shape"),
     )
     # shares of cells that are diameters, by column.
@@ -70,7 +72,7 @@ def roles(tables: DataFrame) -> DataFrame:
 
     # weight columns whose cells are the mass of a metre.
     order = Window.partitionBy("table_id").orderBy("row")
-    rows = own.select("table_id", "c_dia", "c_weights", F.posexplode("rows").alias("row", "cells")).withColumn("dia", F.last(diameter(F.get("cells", F.col("c_dia"))), True).over(order))
+    rows = own.select("table_id", "c_dia", "c_weights").join(data, "table_id").select("table_id", "c_dia", "c_weights", F.posexplode("rows").alias("row", "cells")).withColumn("dia", F.last(diameter(F.get("cells", F.col("c_dia"))), True).over(order))
     mass = F.create_map(*(F.lit(x) for d, kg in BAR_MASS.items() for x in (d, kg)))
     valued = rows.select("table_id", F.try_element_at(mass, F.bround("dia").cast("int")).alias("mass"), F.explode(F.transform("c_weights", lambda i: F.struct(i.alias("col"), extract_number(F.get("cells", i)).alias("v")))).alias("x")).where("mass is not null and x.v is not null")
     unit = valued.groupBy("table_id", "x.col").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("x.v") - F.col("mass")) / F.col("mass") <= 0.06).alias("hit")).where("n >= 3 and hit >= 0.6 * n").groupBy("table_id").agg(F.collect_set("col").alias("units"))
@@ -78,14 +80,14 @@ def roles(tables: DataFrame) -> DataFrame:
     good = F.filter("c_weights", lambda i: ~_has(F.get("h", i), UNIT_WEIGHT) & ~F.array_contains(F.coalesce("units", F.array().cast("array<int>")), i))
     weight = F.coalesce(F.array_min(F.filter(good, lambda i: F.contains(F.get("h", i), F.lit("TONG")))), F.array_min(good), F.array_min("c_weights"))
     at = lambda c: F.get("h", F.col(c))
-    return _with_units(own.withColumns({"c_weight": weight, "len_unit": length_unit(at("c_len")), "total_unit": length_unit(at("c_total"))}).drop("c_weights", "units"))
+    return _with_units(data, own.withColumns({"c_weight": weight, "len_unit": length_unit(at("c_len")), "total_unit": length_unit(at("c_total"))}).drop("c_weights", "units"))
 
 
-def _with_units(own: DataFrame) -> DataFrame:
+def _with_units(data: DataFrame, own: DataFrame) -> DataFrame:
     """units that headers don't name, from the units that make most rows consistent."""
     open_ = F.col("c_len").isNotNull() & (F.col("len_unit").isNull() | (F.col("c_total").isNotNull() & F.col("total_unit").isNull()))
     order = Window.partitionBy("table_id").orderBy("row")
-    rows = own.where(open_).select("table_id", "style", "c_dia", "c_len", "c_qty", "c_qtys", "c_total", "c_weight", "len_unit", "total_unit", F.posexplode("rows").alias("row", "cells")).withColumn("dia", F.last(diameter(F.get("cells", F.col("c_dia"))), True).over(order))
+    rows = own.where(open_).join(data, "table_id").select("table_id", "style", "c_dia", "c_len", "c_qty", "c_qtys", "c_total", "c_weight", "len_unit", "total_unit", F.posexplode("rows").alias("row", "cells")).withColumn("dia", F.last(diameter(F.get("cells", F.col("c_dia"))), True).over(order))
     cell = lambda c: F.get("cells", F.col(c))
     quantities = F.filter(F.transform("c_qtys", lambda i: extract_number(F.get("cells", i))), lambda q: q > 0)
     mass = F.try_element_at(F.create_map(*(F.lit(x) for d, kg in BAR_MASS.items() for x in (d, kg))), F.bround("dia").cast("int"))
@@ -101,7 +103,7 @@ def _with_units(own: DataFrame) -> DataFrame:
     best = scored.groupBy("table_id", "c_total", "c_weight", "n").agg(F.max(F.struct("score", (-F.col("u.i")).alias("first"), "u")).alias("b"))
     need = F.greatest(F.lit(3.0), 0.5 * F.col("n") * F.when(F.col("c_total").isNotNull() & F.col("c_weight").isNotNull(), 2).otherwise(1))
     found = best.where((F.col("n") >= 3) & (F.col("b.score") >= need)).select("table_id", F.col("b.u.ul").alias("ul"), F.col("b.u.ut").alias("ut"))
-    return own.join(found, "table_id", "left").withColumns({"len_unit": F.coalesce("ul", "len_unit"), "total_unit": F.when(F.col("ul").isNotNull(), F.col("ut")).otherwise(F.col("total_unit"))}).drop("ul", "ut")
+    return own.join(found, "table_id", "left").join(data, "table_id").withColumns({"len_unit": F.coalesce("ul", "len_unit"), "total_unit": F.when(F.col("ul").isNotNull(), F.col("ut")).otherwise(F.col("total_unit"))}).drop("ul", "ut")
 
 
 def audit_rebar(tables: DataFrame) -> Audit:

@@ -30,7 +30,7 @@ VERIFIED_COUNT, VERIFIED_DOCS, VERIFIED_SHARE = 3, 2, 0.90
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """The runs of ``n`` tokens."""
+    """The runs of ``n`` tokens; ``tokens`` should be a plain column."""
     return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.slice(tokens, i, F.lit(n)))).otherwise(F.array().cast("array<array<string>>"))
 
 
@@ -41,8 +41,9 @@ def _stop(word: Column) -> Column:
 def terms(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """H2: (term, cnt): runs of 2 or 3 words, half of them with marks and no stop word among them,
     that a document has twice or more, with the sum over documents."""
-    tokens = F.filter(words(F.col(text)), lambda w: F.length(w) >= 2)
-    found = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.concat(grams(tokens, 2), grams(tokens, 3))).alias("g"))
+    # Tokens are a column of their own: as an expression they would be found anew for every run.
+    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.filter(words(F.col(text)), lambda w: F.length(w) >= 2).alias("t"))
+    found = tokens.select("doc_id", F.explode(F.concat(grams(F.col("t"), 2), grams(F.col("t"), 3))).alias("g"))
     found = found.where(~F.exists("g", _stop) & (F.size(F.filter("g", has_marks)) >= F.floor((F.size("g") + 1) / 2)))
     counted = found.groupBy("doc_id", F.lower(F.array_join("g", " ")).alias("term")).count().where("count >= 2")
     return counted.groupBy("term").agg(F.sum("count").alias("cnt"))
@@ -67,8 +68,8 @@ def verified_terms(pages: DataFrame, doc_id: str = "doc_id", text: str = "text")
     between signs and digits, that don't begin or end with a stop word and have a mark."""
     parts = F.flatten(F.transform(F.split(F.col(text), r"\r\n|\r|\n"), lambda line: F.split(line, r"[^\sA-Za-zÀ-ỹĐđ]+")))
     split = pages.where(is_trustworthy(F.col(text))).select(F.col(doc_id).alias("doc_id"), F.explode(parts).alias("part"))
-    low = F.filter(F.split(F.lower("part"), r"\s+"), lambda w: w != "")
-    found = split.select("doc_id", F.explode(F.concat(grams(low, 2), grams(low, 3))).alias("g"))
+    low = split.select("doc_id", F.filter(F.split(F.lower("part"), r"\s+"), lambda w: w != "").alias("t"))
+    found = low.select("doc_id", F.explode(F.concat(grams(F.col("t"), 2), grams(F.col("t"), 3))).alias("g"))
     found = found.where(~_stop(F.get("g", F.lit(0))) & ~_stop(F.element_at("g", -1)) & F.forall("g", is_loose_syllable) & F.exists("g", has_marks))
     by_doc = found.groupBy("doc_id", F.array_join("g", " ").alias("term")).count()
     return by_doc.groupBy("term").agg(F.sum("count").alias("cnt"), F.count(F.lit(1)).alias("docs"))
