@@ -1,6 +1,6 @@
 """Learning from a corpus.
 
-What the reference keeps in one dictionary is a table for each kind of knowledge here; a document
+Each kind of knowledge is a table of its own, not a part of one dictionary; a document
 adds rows, and merging adds counts, so the order of documents and lost tasks don't matter. Where
 the first or the last one wins, an order column decides.
 """

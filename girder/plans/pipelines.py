@@ -23,7 +23,7 @@ class Converted(NamedTuple):
 
 def route(suffix, mode):
     """office files by their suffix, others by the mode that was asked for."""
-    return F.when(F.lower(suffix).isin("xlsx", "xlsm", "docx"), "office").when(mode.isin("fast_text", "rapid_ocr", "vn_ocr"), mode).otherwise("marker")
+    return F.when(F.lower(suffix).isin("xlsx", "xlsm", "docx"), "office").when(mode.isin("fast_text", "rapid_ocr", "vn_ocr"), mode).otherwise("model")
 
 
 def convert(pages: DataFrame, page_tables: DataFrame, mode: str = "text", most: int = 3000) -> Converted:

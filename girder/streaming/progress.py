@@ -15,7 +15,7 @@ from ..operators import learning
 EVENT = "type STRING, message STRING, percent DOUBLE"
 
 
-def parsed(lines: DataFrame, prefix: str = "PDF_AI_EVENT ") -> DataFrame:
+def parsed(lines: DataFrame, prefix: str = "EVENT ") -> DataFrame:
     """Events from lines (value, ts) that begin with ``prefix``."""
     text = F.substring(F.col("value"), len(prefix) + 1, 1 << 30)
     return lines.where(F.col("value").startswith(prefix)).select("ts", F.from_json(text, EVENT).alias("e")).select("ts", "e.*").where("type is not null")

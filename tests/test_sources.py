@@ -18,11 +18,11 @@ TABLE = {"title": "Bảng thống kê cốt thép", "header": ["Ký hiệu", "Đ
 
 @pytest.fixture
 def folder(tmp_path):
-    out = tmp_path / "in" / "A_Marker"
+    out = tmp_path / "in" / "A_run"
     out.mkdir(parents=True)
     page = {"page": 1, "method": "pdftext_fast", "metadata": {"so_hieu_ban_ve": "KC-05", "ten_ban_ve": "Dầm"}, "text": PAGE, "markdown": "### Ghi chú\n" + PAGE, "tables": [TABLE], "low_confidence": [{"text": "D1?", "score": 0.3}]}
     (out / "du_lieu.json").write_text(json.dumps({"source": "a.pdf", "page_count": 2, "pages": [page, {"page": None}]}))
-    broken = tmp_path / "in" / "B_Marker"
+    broken = tmp_path / "in" / "B_run"
     broken.mkdir()
     (broken / "du_lieu.json").write_text("{not json")
     return tmp_path
@@ -30,7 +30,7 @@ def folder(tmp_path):
 
 def test_results(spark, folder):
     docs = readers.payloads(spark, f"{folder}/in/*/du_lieu.json")
-    assert {(r.folder, r.source) for r in docs.collect()} == {("A_Marker", "a.pdf"), ("B_Marker", None)}
+    assert {(r.folder, r.source) for r in docs.collect()} == {("A_run", "a.pdf"), ("B_run", None)}
     pages = readers.pages(docs)
     assert [(r.page, r.n_tables, r.n_low) for r in pages.collect()] == [(1, 1, 1)]
     tables = readers.page_tables(pages)
@@ -102,7 +102,7 @@ def test_relational(spark):
 
 
 def test_streams(spark, tmp_path):
-    lines = [("PDF_AI_EVENT " + json.dumps({"type": "progress", "message": f"m{i}", "percent": i}), f"2026-01-01 00:00:{i // 4:02d}.{i % 4}00") for i in range(12)] + [("noise", "2026-01-01 00:00:00")]
+    lines = [("EVENT " + json.dumps({"type": "progress", "message": f"m{i}", "percent": i}), f"2026-01-01 00:00:{i // 4:02d}.{i % 4}00") for i in range(12)] + [("noise", "2026-01-01 00:00:00")]
     spark.createDataFrame(lines, "value string, ts string").withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/in")
     source = spark.readStream.schema("value string, ts timestamp").parquet(f"{tmp_path}/in")
     progress.throttled(progress.parsed(source)).writeStream.format("memory").queryName("seconds").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
