@@ -8,9 +8,12 @@ Equal vectors are one entry of the index, with its smallest ids, as many as a re
 index is one row for each entry: list, codes, id. Lists are packed into blocks of about
 ``BLOCK_ROWS`` entries, and a list that is larger is dealt over several. Queries, one for each
 different vector, go in chunks to the blocks that hold their lists. A block and a chunk meet in one
-task: inner products with the codewords make a table for each query, sums over codes score every
-entry, and the best of each block go on. The best over all blocks are scored anew, exactly, on the
-original vectors.
+task: inner products with the codewords make a table for each query, and sums over codes score every
+entry. Each entry carries its own quantisation error, the length of what the codes leave of it, which
+bounds how far its score can be off. The exact scores of the ``RERANK`` best give a floor; every entry
+that the bound doesn't put below it is scored exactly on the original vectors, which stand in the
+block, however many there are. So the best of the visited lists are found for certain, in groups of
+near copies too, and only they leave the block.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ddl, per_batch, saved, tune
+from .common import per_batch, saved, tune
 
-#: Production parameters. SAMPLE bounds the vectors that the driver fits on.
+#: Production parameters. SAMPLE bounds the vectors that the driver fits on; RERANK doesn't bound what
+#: is scored exactly, only what the floor of a block is taken from.
 SAMPLE = 20_000
 MAX_LISTS = 1024
 CODEWORDS = 256
@@ -35,6 +39,7 @@ ROUNDS = 8
 COVERAGE = 0.98
 RERANK = 64
 BLOCK_ROWS = 16_384
+BLOCK_BYTES = 32 << 20
 QUERY_ROWS = 16_384
 SEED = 42
 
@@ -52,6 +57,12 @@ class Model(NamedTuple):
         rest = _parts(x - self.centroids[at])
         return np.stack([_nearest(rest[:, m], book) for m, book in enumerate(self.codebooks)], 1).astype(np.uint8)
 
+    def errors(self, x: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Length of what the codes leave of each row: no unit vector's product is off by more."""
+        rest = _parts(x.astype(np.float64) - self.centroids[at])
+        left = sum(((rest[:, m] - book[codes[:, m]]) ** 2).sum(1) for m, book in enumerate(self.codebooks))
+        return np.sqrt(left)
+
 
 def _parts(x: np.ndarray) -> np.ndarray:
     """rows x parts x SUB_DIMS; zeros fill the last part."""
@@ -122,20 +133,52 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _search(shared: Broadcast[Model], probes: int, best: int):
-    """Cogrouped function of a block's entries and the queries that visit it: best entries of each."""
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes; in single precision where that loses nothing."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    exact = (small == x).all(axis=1)
+    return [(s if e else r).tobytes() for r, s, e in zip(x, small, exact, strict=True)]
+
+
+def _unpacked(rows: pd.Series, dims: int) -> np.ndarray:
+    return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64) for r in rows]).astype(np.float64)
+
+
+def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of ``a`` with those of ``b``, in double precision."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        dot = np.einsum("ij,ij->i", a, b)
+        score = dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+    wrong = ~np.isfinite(score) | (dot == 0)
+    if wrong.any():  # components whose squares are out of range
+        score[wrong] = np.einsum("ij,ij->i", _unit(a[wrong]), _unit(b[wrong]))
+    return score
+
+
+#: What single precision can add to the error of a score.
+_ROUNDING = 1e-4
+#: Pairs that are scored at once.
+_PAIRS = 16_384
+
+
+def _search(shared: Broadcast[Model], probes: int, best: int, rerank: int):
+    """Cogrouped function of a block's entries and the queries that visit it: the ``best`` entries of each."""
 
     def run(key: tuple, entries: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         model = shared.value
         q_out, id_out, s_out = [], [], []
         if len(entries) and len(asked):
-            ids, at = entries["entry"].to_numpy(), entries["list"].to_numpy()
-            codes = np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(ids), -1)
-            order = np.argsort(ids, kind="stable")  # ties go to the smaller id
-            ids, at, codes = ids[order], at[order], np.ascontiguousarray(codes[order].T)
+            entries = entries.sort_values("entry", kind="stable")  # ties go to the smaller id
+            ids, at, error = entries["entry"].to_numpy(), entries["list"].to_numpy(), entries["error"].to_numpy() + _ROUNDING
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(entries["codes"]), np.uint8).reshape(len(ids), -1).T)
+            vectors = _unpacked(entries["v"], model.dims)
+            units = _unit(vectors)
             queries = asked["query"].to_numpy()
             for i in range(0, len(queries), 64):
-                q = np.stack(asked["unit"].iloc[i : i + 64].to_list()).astype(np.float32)
+                qv = _unpacked(asked["v"].iloc[i : i + 64], model.dims)
+                unit = _unit(qv)
+                q = unit.astype(np.float32)
                 coarse = q @ model.centroids.T
                 far = np.argsort(np.argsort(-coarse, axis=1, kind="stable"), axis=1) >= probes
                 coarse[far] = -np.inf
@@ -143,14 +186,33 @@ def _search(shared: Broadcast[Model], probes: int, best: int):
                 parts = _parts(q)
                 for m, book in enumerate(model.codebooks):
                     score += (parts[:, m] @ book.T)[:, codes[m]]
-                n = min(best, len(ids))
-                top = np.argpartition(-score, n - 1, axis=1)[:, :n]
-                row, col = np.nonzero(np.isfinite(np.take_along_axis(score, top, axis=1)))
-                q_out.append(queries[i : i + 64][row])
-                id_out.append(ids[top[row, col]])
-                s_out.append(score[row, top[row, col]])
+                if len(ids) <= best:
+                    maybe = np.isfinite(score)
+                else:
+                    # Floor: the exact score of the last of the best among those that look nearest.
+                    n = min(max(rerank, best), len(ids))
+                    top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                    close = np.stack([units[t] @ u for t, u in zip(top, unit, strict=True)])
+                    close[~np.isfinite(np.take_along_axis(score, top, axis=1))] = -np.inf
+                    floor = np.partition(close, n - best, axis=1)[:, n - best]
+                    maybe = np.isfinite(score) & (score + error >= floor[:, None])
+                    # All of those exactly, with a margin for the order in which products are added.
+                    cols = np.flatnonzero(maybe.any(axis=0))
+                    sure = np.where(maybe[:, cols], unit @ units[cols].T, -np.inf)
+                    if len(cols) > best:
+                        floor = np.partition(sure, len(cols) - best, axis=1)[:, len(cols) - best]
+                        maybe[:, cols] &= sure >= floor[:, None] - 1e-13 * model.dims
+                row, col = np.nonzero(maybe)
+                near = [_cosine(qv[row[j : j + _PAIRS]], vectors[col[j : j + _PAIRS]]) for j in range(0, len(row), _PAIRS)]
+                near = np.concatenate(near) if near else np.empty(0)
+                order = np.lexsort((col, -near, row))
+                row, col, near = row[order], col[order], near[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < best
+                q_out.append(queries[i : i + 64][row[first]])
+                id_out.append(ids[col[first]])
+                s_out.append(near[first])
         join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
-        return pd.DataFrame({"query": join(q_out, np.int64), "entry": join(id_out, np.int64), "near": join(s_out, np.float32).astype(np.float64)})
+        return pd.DataFrame({"query": join(q_out, np.int64), "entry": join(id_out, np.int64), "score": join(s_out, np.float64)})
 
     return run
 
@@ -195,19 +257,21 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = 5, vec_i
         x = _unit(_matrix(batch.column("v"))).astype(np.float32)
         at = shared.value.lists(x)
         codes = shared.value.codes(x, at)
-        return pa.RecordBatch.from_arrays([batch.column("entry"), pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["entry", "list", "codes"])
+        columns = [pa.array(at.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(shared.value.errors(x, at, codes)), pa.array(_packed(_matrix(batch.column("v"))), pa.binary())]
+        return pa.RecordBatch.from_arrays([batch.column("entry"), *columns], ["entry", "list", "codes", "error", "v"])
 
-    indexed = saved(entries.select("entry", "v").mapInArrow(per_batch(index), "entry long, list int, codes binary"))
+    indexed = saved(entries.select("entry", "v").mapInArrow(per_batch(index), "entry long, list int, codes binary, error double, v binary"))
     # Lists in blocks: at most MAX_LISTS sizes.
     sizes = {r.list: r["count"] for r in indexed.groupBy("list").count().collect()}
     # Any lists that a query visits hold more than k entries, if there are as many.
     fewest = np.cumsum(sorted(sizes.get(i, 0) for i in range(len(model.centroids))))
     probes = max(model.probes, min(len(fewest), int(np.searchsorted(fewest, k + 1)) + 1))
+    block_rows = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * model.dims)))
     blocks: dict[int, tuple[int, int]] = {}
     block, held = 0, 0
     for at in sorted(sizes):
-        parts = -(-sizes[at] // BLOCK_ROWS)
-        if parts > 1 or held + sizes[at] > BLOCK_ROWS:
+        parts = -(-sizes[at] // block_rows)
+        if parts > 1 or held + sizes[at] > block_rows:
             block, held = block + bool(held), 0
         blocks[at] = (block, parts)
         if parts > 1:
@@ -225,25 +289,15 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = 5, vec_i
         probed = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")[:, :probes]
         # Lists that no entry is in have no block.
         seen = [sorted({b + i for at in row for b, n in [blocks.get(at, (0, 0))] for i in range(n)}) for row in probed.tolist()]
-        return pa.RecordBatch.from_arrays([batch.column("query"), pa.array(list(q), pa.list_(pa.float32())), pa.array(seen, pa.list_(pa.int32()))], ["query", "unit", "blocks"])
+        return pa.RecordBatch.from_arrays([batch.column("query"), pa.array(_packed(_matrix(batch.column("v"))), pa.binary()), pa.array(seen, pa.list_(pa.int32()))], ["query", "v", "blocks"])
 
-    visits = distinct.mapInArrow(per_batch(visit), "query long, unit array<float>, blocks array<int>")
-    visits = visits.select("query", "unit", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int").alias("chunk"))
+    visits = distinct.mapInArrow(per_batch(visit), "query long, v binary, blocks array<int>")
+    visits = visits.select("query", "v", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int").alias("chunk"))
     every = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else dealt.withColumn("chunk", F.lit(0))
-    found = every.groupBy("block", "chunk").cogroup(visits.groupBy("block", "chunk")).applyInPandas(_search(shared, probes, rerank), "query long, entry long, near double")
-    best = found.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("near"), "entry"))).where(F.col("turn") <= rerank)
-
-    def exact(batch: pa.RecordBatch) -> pa.RecordBatch:
-        a, b = _matrix(batch.column("qv")), _matrix(batch.column("v"))
-        dot = np.einsum("ij,ij->i", a, b)
-        score = dot / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
-        wrong = ~np.isfinite(score) | (dot == 0)
-        if wrong.any():  # components whose squares are out of range
-            score[wrong] = np.einsum("ij,ij->i", _unit(a[wrong]), _unit(b[wrong]))
-        return pa.RecordBatch.from_arrays([batch.column("query"), batch.column("members"), pa.array(score)], ["query", "members", "score"])
-
-    pairs = best.select("query", "entry").join(entries.select("entry", "members", "v"), "entry").join(entries.select(F.col("entry").alias("query"), F.col("v").alias("qv")), "query")
-    scored = pairs.select("query", "members", "v", "qv").mapInArrow(per_batch(exact), ddl(pairs.select("query", "members"), "score double"))
+    # Each entry has a member, so k + 1 entries hold a query's own and its k nearest.
+    found = every.groupBy("block", "chunk").cogroup(visits.groupBy("block", "chunk")).applyInPandas(_search(shared, probes, k + 1, rerank), "query long, entry long, score double")
+    best = found.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("turn") <= k + 1)
+    scored = best.select("query", "entry", "score").join(entries.select("entry", "members"), "entry")
     ranked = scored.select("query", "score", F.explode("members").alias("vec_id"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     few = ranked.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("turn", "vec_id", "score"))).alias("near"))

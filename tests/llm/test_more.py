@@ -217,6 +217,19 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert recall(got, plain_nearest(rows, lambda i: i % 20 == 0)) >= 0.9
 
 
+def test_recall_in_a_group_of_near_copies(spark, monkeypatch):
+    """A third of the vectors, and 300 others, differ by less than codes can tell."""
+    monkeypatch.setattr(ivfpq, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 64))
+    x[:667] = x[0] + 0.001 * rng.normal(size=(667, 64))
+    x[1000:1300] = x[1000] + 0.02 * rng.normal(size=(300, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    crowded = lambda i: i % 20 == 0 and (i < 667 or 1000 <= i < 1300)
+    got = ivfpq.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), (F.col("vec_id") % 20 == 0) & ((F.col("vec_id") < 667) | F.col("vec_id").between(1000, 1299))).collect()
+    assert recall(got, plain_nearest(rows, crowded)) >= 0.99
+
+
 # --- Word pieces
 
 
