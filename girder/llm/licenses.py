@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .known_licenses import EQUIVALENT, KNOWN
+from .known_licenses import EQUIVALENT, FULL_TEXTS, KNOWN
 
 #: Most known texts that are broadcast; a larger table is joined by a shuffle.
 MOST_BROADCAST = 10_000
@@ -44,11 +44,12 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return _rows(spark, known, "license", "text").groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
-def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), known: list[tuple[str, str]] = KNOWN, full: list[tuple[str, str, str]] = FULL_TEXTS) -> DataFrame:
     """The columns ``keep`` of ``docs``, ``digest``, ``license`` and ``line_licenses``.
 
     ``digest``: SHA-256 of the whole text's canonical form; ``license``: the known text that has the
-    same, or null; ``line_licenses``: sorted names of the known texts that a whole line is.
+    same, or null; ``line_licenses``: sorted names of the known texts that a whole line is. ``full``
+    are more known texts, as name, first word and digest of their canonical form.
 
     One row for each row of ``docs``, repeated ones too. A null text has a null digest and no
     lines; an empty one, or one of punctuation only, has the digest of the empty string, which no
@@ -57,11 +58,12 @@ def license_scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     spark = docs.sparkSession
     names = known_digests(spark, known)
     # The known texts are a parameter; their digests by name are a constant of the plan.
-    pairs = [(r.digest, r.license) for r in names.collect()]
+    pairs = list({**{of: name for name, _, of in full}, **{r.digest: r.license for r in names.collect()}}.items())
     lookup = F.create_map(*(F.lit(x) for pair in pairs for x in pair))
     # A line is only worth a digest if it begins with a word that some known text begins with, in
     # either spelling.
-    begin = sorted({canon.split(" ")[0].replace("license", "licen[cs]e") for (canon,) in _rows(spark, known, "license", "text").select(canonical(F.col("text"))).collect() if canon})
+    first = {canon.split(" ")[0] for (canon,) in _rows(spark, known, "license", "text").select(canonical(F.col("text"))).collect() if canon}
+    begin = sorted(word.replace("license", "licen[cs]e") for word in first | {word for _, word, _ in full})
     worth = r"(?i)^[^a-z0-9]*(" + "|".join(begin) + r")([^a-z0-9]|$)"
     candidates = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(worth))
     lines = F.array_sort(F.array_distinct(F.filter(F.transform(candidates, lambda x: F.element_at(lookup, digest(x))), lambda x: x.isNotNull())))

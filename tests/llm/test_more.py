@@ -51,6 +51,14 @@ def test_licenses(spark, odd, empty):
     assert not licenses.license_scan(odd).where("license is not null").count()
 
 
+@pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="full license texts aren't installed")
+def test_full_license_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    texts = {n: (Path("/usr/share/common-licenses") / n).read_text() for n in names}
+    docs = spark.createDataFrame([*texts.items(), ("more", texts["GPL-3"] + " And more.")], "doc_id string, text string")
+    assert {r.doc_id: r.license for r in licenses.license_scan(docs).collect()} == names | {"more": None}
+
+
 # --- Preference formatting
 
 
