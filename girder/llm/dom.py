@@ -14,7 +14,11 @@ from html import unescape
 import numpy as np
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|style|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/"']|\Z)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
+#: Ends of the names of attributes that are read; those of others aren't, whatever their values hold.
+_READ = ("class", "id", "role", "itemprop", "aria-label", "style", "hidden")
+#: Longest attribute string that is remembered; longer ones are read anew.
+_REMEMBERED = 2000
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _SENTENCE = re.compile(r"[.!?;:…。]")
 
@@ -55,9 +59,11 @@ def _said(attributes: str) -> tuple[int, bool]:
     bits, hidden = 0, False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden":
+        if not name.endswith(_READ):
+            continue
+        if name.endswith("hidden"):
             hidden = True
-        elif name == "style":
+        elif name.endswith("style"):
             hidden = hidden or "display:none" in value.replace(" ", "").lower()
         else:
             words = {w.lower() for w in _WORD.findall(value)}
@@ -82,7 +88,8 @@ class Page:
         self._parse(html)
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
-        bits, hidden = _said(attributes) if attributes and len(attributes) < 2000 else (0, False)
+        said = _said if len(attributes) < _REMEMBERED else _said.__wrapped__
+        bits, hidden = said(attributes) if attributes else (0, False)
         self.tag.append(tag)
         self.parent.append(parent)
         self.bits.append(bits)

@@ -121,3 +121,12 @@ def test_odd_rows(spark):
     got = {r.page_id: r.text for r in html_extract.main_texts(df).collect()}
     assert html_extract.main_texts(df).count() == len(rows) and html_extract.main_texts(df.limit(0)).count() == 0
     assert got[1] == got[2] == got[9] == "" and got[5].count("\n") == 3000
+
+
+def test_attributes_of_any_length():
+    """A long payload changes nothing, on either side of the class, and isn't read itself."""
+    payload = "data-state='{" + '"hidden": false, "class": "nav", ' * 300 + "}' data-image=\"" + "A" * 200_000 + '"'
+    for said in ('hidden class="x"', 'style="display: none"', 'class="comment-list"', 'id="article" role="main"', ""):
+        short = dom.Page(f"<div {said}><p>Some text</p></div>")
+        for long in (dom.Page(f"<div {said} {payload}><p>Some text</p></div>"), dom.Page(f"<div {payload} {said}><p>Some text</p></div>")):
+            assert (long.bits, long.hidden, long.blocks) == (short.bits, short.hidden, short.blocks)
