@@ -27,7 +27,8 @@ KEPT_BYTES = 64
 def pieces_of(vocabulary: bytes) -> tuple[list[bytes], list[bytes]]:
     """Pieces that begin a word, and pieces that continue one, of a byte-level rank file.
 
-    A token with one leading space begins a word; one without any white space continues one.
+    A token with one leading space begins a word; one without any white space continues one. Single
+    bytes also begin a word, so that one in a script without spaces, or any other, can be cut.
     """
     first, later = [], []
     for token in parse_ranks(vocabulary):
@@ -35,6 +36,8 @@ def pieces_of(vocabulary: bytes) -> tuple[list[bytes], list[bytes]]:
             first.append(token[1:])
         elif token.split() == [token]:
             later.append(token)
+            if len(token) == 1:
+                first.append(token)
     return first, later
 
 

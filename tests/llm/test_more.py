@@ -264,6 +264,18 @@ def test_automaton():
             assert automaton.count(word) == plain_pieces(word, first, later), (first, later, word)
 
 
+def test_any_word_can_be_cut(spark):
+    """Runs of scripts without spaces are counted by pieces; a longer run has more."""
+    data, _ = bpe.vocabulary_of(spark, "byte_bpe_multi_50k.tiktoken")
+    first, later = map(set, wordpiece.pieces_of(data))
+    assert {bytes([b]) for b in range(256) if bytes([b]).split()} <= first & later
+    automaton = wordpiece.Automaton(*wordpiece.pieces_of(data))
+    for run in ("日本語の文章です", "中文没有空格", "ภาษาไทย"):
+        words = [(run * n).encode() for n in (1, 2, 4)]
+        counts = [automaton.count(w) for w in words]
+        assert counts == [plain_pieces(w, first, later) for w in words] and 1 < counts[0] < counts[1] < counts[2]
+
+
 def test_token_counts(spark, odd, empty):
     data, _ = bpe.vocabulary_of(spark, "byte_bpe_multi_50k.tiktoken")
     first, later = map(set, wordpiece.pieces_of(data))
