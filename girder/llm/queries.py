@@ -26,7 +26,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repetition.repetition_rules(spread(table(spark, sf_dir, "documents")))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "longest_repeat")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_covered", "longest_repeat", "n_maximal")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

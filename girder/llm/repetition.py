@@ -2,17 +2,26 @@
 
 The suffixes of a block of texts are sorted together by prefix doubling in numpy. Each text ends
 in a sentinel word of its own, so no repeat crosses from one text to another. Only suffixes whose
-first ``window`` words occur again in their text can belong to an interval of the wanted depth, so
-the sort goes on with those alone. Longest common prefixes of neighbours in suffix order come from
-the ranks of the doubling rounds; each suffix's larger one is the depth of the deepest interval
-that holds it, and the union of those spans is what maximal repeated substrings cover.
+first ``least`` words occur again in their text can stand in an interval of the wanted depth, so the
+sort goes on with those alone. Longest common prefixes of neighbours in suffix order are found in
+text order, where each is at most one shorter than the one before, so words are compared a linear
+number of times.
 
-Memory of a worker is linear in the words of one block: ``BLOCK_WORDS`` words, or one text if that
-is longer.
+Runs of neighbours that share a prefix are intervals, nested like a tree. An interval is a maximal
+repeated substring if its suffixes don't all have the same word before them: it can be made longer
+on neither side. Each suffix belongs to the deepest maximal interval that holds it; the union of
+those spans is what maximal repeats cover.
+
+A worker holds one block: ``BLOCK_WORDS`` words, or one text if that is longer. Measured on a text
+of a million words that repeats throughout, it takes some 300 bytes for each word; no array is kept
+for a round of doubling, so that doesn't grow with the length of the repeats.
 """
 
 from __future__ import annotations
 
+from array import array
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -20,15 +29,16 @@ from pyspark.sql import DataFrame
 
 from .common import ddl, per_batch, tune, utf8, with_text
 
-#: Production parameters.
+#: Production parameters. WINDOW and MIN_WORDS are those of the base rules, the others the method's.
 WINDOW = 8
 MIN_WORDS = 20
+LEAST_REPEAT = 4
 MAX_COVERED = 0.30
-MAX_LONGEST = 300
+MAX_LONGEST = 0.20
 BLOCK_WORDS = 400_000
 SYMBOLS = b"#*$%&|<>"
 
-FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, longest_repeat long, spans array<struct<start:long,end:long>>, base_failed boolean, kept boolean"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered long, longest_repeat long, n_maximal long, spans array<struct<start:long,end:long>>, base_failed boolean, kept boolean"
 
 
 def _ranked(keys: np.ndarray) -> np.ndarray:
@@ -42,56 +52,124 @@ def _ranked(keys: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def repeats(words: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes that repeat for ``window`` words or more, and for how many words.
+def sorted_suffixes(words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes whose first ``least`` words another one has too, in order, and the common prefixes
+    of each with the next (one fewer; 0 where they share fewer than ``least``).
 
-    ``words``: ids of the words of many texts, each text followed by an id of its own. Returns
-    positions in rising order and, for each, the longest prefix that another suffix shares.
-    ``window`` is a power of two.
+    ``words``: ids of the words of many texts, each text followed by an id of its own.
     """
     n = len(words)
     none = np.empty(0, np.int64)
     if n == 0:
         return none, none
-    levels = [_ranked(words.astype(np.int64))]
-    span = 1
-    while span < window:
-        rank = levels[-1]
-        after = np.concatenate((rank[span:], np.full(min(span, n), -1)))[:n]
-        levels.append(_ranked(rank * (n + 1) + after + 1))
-        span *= 2
-    # Suffixes in groups of equal ranks; those alone in theirs are sorted already.
-    rank = levels[-1]
+    rank, span = _ranked(words), 1
+    while span < least:
+        # Prefixes of ``least`` words exactly, as two that overlap.
+        step = min(span, least - span)
+        after = np.full(n, -1)
+        after[: max(0, n - step)] = rank[step:]
+        rank = _ranked(rank * (n + 1) + after + 1)
+        span += step
     live = np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)
-    found = live
+    if not len(live):
+        return none, none
+    found, group = live, rank[live]
+    # Suffixes in groups of equal ranks; those alone in theirs are sorted already.
     while len(live):
-        rank = levels[-1].copy()
-        after = np.where(live + span < n, levels[-1][np.minimum(live + span, n - 1)], -1)
+        after = np.where(live + span < n, rank[np.minimum(live + span, n - 1)], -1)
         order = np.lexsort((after, rank[live]))
         at, head, tail = live[order], rank[live][order], after[order]
-        group = np.concatenate(([True], head[1:] != head[:-1]))
-        start = np.maximum.accumulate(np.where(group, np.arange(len(at)), 0))
-        part = group | np.concatenate(([True], tail[1:] != tail[:-1]))
+        new = np.concatenate(([True], head[1:] != head[:-1]))
+        start = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        part = new | np.concatenate(([True], tail[1:] != tail[:-1]))
         first = np.maximum.accumulate(np.where(part, np.arange(len(at)), 0))
         rank[at] = head + first - start
-        levels.append(rank)
         span *= 2
         sizes = np.diff(np.append(np.flatnonzero(part), len(at)))
         live = at[np.repeat(sizes > 1, sizes)]
-    if not len(found):
-        return none, none
-    # All ranks differ now: suffix order. Neighbours that share no whole window get 0 or too few words.
-    order = found[np.argsort(levels[-1][found], kind="stable")]
-    left, right = order[:-1], order[1:]
-    same = np.zeros(len(left), np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        a, b = left + same, right + same
-        inside = np.maximum(a, b) < n
-        equal = inside & (levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)])
-        same += np.where(equal, 1 << k, 0)
-    depth = np.maximum(np.concatenate(([0], same)), np.concatenate((same, [0])))
-    back = np.argsort(order, kind="stable")
-    return order[back], depth[back]
+    # Ranks grow by what is before a suffix in its group, so those of a group stay together.
+    by_rank = np.argsort(rank[found], kind="stable")
+    order, group = found[by_rank], group[by_rank]
+    joined = group[1:] == group[:-1]
+    return order, _common(words, order, joined, least)
+
+
+def _common(words: np.ndarray, order: np.ndarray, joined: np.ndarray, least: int) -> np.ndarray:
+    """Words that each suffix in ``order`` shares with the next, where ``joined``; else 0.
+
+    In text order a suffix shares at most one word fewer than the one before it, so the search
+    starts there. A text's own last word ends every comparison.
+    """
+    out = np.zeros(max(0, len(order) - 1), np.int64)
+    left = np.flatnonzero(joined)
+    in_text = left[np.argsort(order[left], kind="stable")]
+    read = memoryview(np.ascontiguousarray(words))
+    before, same = -2, 0
+    shared = []
+    for i, j in zip(order[in_text].tolist(), order[in_text + 1].tolist(), strict=True):
+        same = max(least, same - 1) if i == before + 1 else least
+        while read[i + same] == read[j + same]:
+            same += 1
+        shared.append(same)
+        before = i
+    out[in_text] = shared
+    return out
+
+
+def intervals(common: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Intervals of suffixes that share a prefix, from the common prefixes of neighbours.
+
+    Returns first place, last place and length of the prefix of each, and the interval around it (-1
+    for none); and for each pair of neighbours the interval of just what they share (-1 for none).
+    """
+    low, high, depth, around, of = (array("q") for _ in range(5))
+    open_: list[int] = []
+    for k, shared in enumerate(chain(memoryview(common), (0,))):
+        start, closed = k, -1
+        while open_ and depth[open_[-1]] > shared:
+            closed = open_.pop()
+            high[closed], start = k, low[closed]
+            if open_ and depth[open_[-1]] >= shared:
+                around[closed] = open_[-1]
+        if shared and not (open_ and depth[open_[-1]] == shared):
+            if closed >= 0:
+                around[closed] = len(low)
+            open_.append(len(low))
+            for of_interval, value in ((low, start), (high, -1), (depth, shared), (around, -1)):
+                of_interval.append(value)
+        of.append(open_[-1] if shared else -1)
+    return tuple(np.frombuffer(x, np.int64) if x else np.empty(0, np.int64) for x in (low, high, depth, around, of[:-1]))
+
+
+class Repeats:
+    """Maximal repeated substrings of a block of texts."""
+
+    def __init__(self, words: np.ndarray, least: int):
+        self.order, common = sorted_suffixes(words, least)
+        self.low, self.high, self.depth, around, of = intervals(common)
+        self.maximal, self.reach = np.empty(0, bool), np.zeros(len(self.order), np.int64)
+        if not len(self.low):
+            return
+        # Words before the suffixes: those of an interval differ if some two neighbours' do.
+        before = np.where(self.order > 0, words[self.order - 1], -1)
+        differ = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+        self.maximal = differ[self.high] > differ[self.low]
+        # The nearest maximal interval at or around each: pointers are doubled until none moves.
+        # What has nothing maximal around it points at itself in the end, and counts for nothing.
+        mine = np.arange(len(around))
+        to = np.where(self.maximal | (around < 0), mine, around)
+        while (to[to] != to).any():
+            to = to[to]
+        deepest = np.where(self.maximal[to], self.depth[to], 0)
+        pair = np.where(of >= 0, deepest[of], 0)
+        self.reach = np.maximum(np.append(pair, 0), np.concatenate(([0], pair)))
+
+    def spans(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Union of the spans of maximal repeats of ``least`` words or more: starts and ends."""
+        long = self.reach >= least
+        at, depth = self.order[long], self.reach[long]
+        by_place = np.argsort(at, kind="stable")
+        return _unions(at[by_place], depth[by_place])
 
 
 def _unions(at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,8 +181,9 @@ def _unions(at: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[fresh], reach[np.append(np.flatnonzero(fresh)[1:] - 1, len(at) - 1)]
 
 
-def _block(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarray, list[list[dict]]]:
-    """For each text: words in repeats, longest repeat, spans of words."""
+def _block(texts: list[list[bytes]], window: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+    """For each text: words in windows that repeat, words in maximal repeats, longest and number of
+    those, and their spans."""
     sizes = np.array([len(t) for t in texts], np.int64)
     ids, names = pd.factorize(np.array([w for t in texts for w in t], dtype=object)) if sizes.sum() else (np.empty(0, np.int64), ())
     ends = np.cumsum(sizes + 1)
@@ -116,17 +195,21 @@ def _block(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, np.ndarra
     # A word counts as another in another text, so that its ranks hold only suffixes of one text.
     words[inner] = owner[inner] * (len(names) + 1) + ids
     words[ends - 1] = np.arange(len(texts)) * (len(names) + 1) + len(names)
-    at, depth = repeats(words, window)
-    longest = np.zeros(len(texts), np.int64)
-    np.maximum.at(longest, owner[at], depth)
-    begin, end = _unions(at, depth)
-    covered = np.zeros(len(texts), np.int64)
+    found = Repeats(words, min(least, window))
+    longest, number, covered, repeated = (np.zeros(len(texts), np.int64) for _ in range(4))
+    good = found.maximal & (found.depth >= least)
+    of = owner[found.order[found.low[good]]] if good.any() else np.empty(0, np.int64)
+    np.maximum.at(longest, of, found.depth[good])
+    np.add.at(number, of, 1)
+    begin, end = found.spans(window)
+    np.add.at(repeated, owner[begin], end - begin)
+    begin, end = found.spans(least)
     np.add.at(covered, owner[begin], end - begin)
     spans: list[list[dict]] = [[] for _ in texts]
     for b, e in zip(begin.tolist(), end.tolist(), strict=True):
         o = owner[b]
         spans[o].append({"start": b - int(starts[o]), "end": e - int(starts[o])})
-    return covered, longest, spans
+    return repeated, covered, longest, number, spans
 
 
 def _dup_lines(text: bytes) -> int:
@@ -134,7 +217,7 @@ def _dup_lines(text: bytes) -> int:
     return len(lines) - len(set(lines))
 
 
-def measure(texts: list[bytes | None], window: int = WINDOW, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> list[tuple]:
+def measure(texts: list[bytes | None], window: int = WINDOW, min_words: int = MIN_WORDS, least: int = LEAST_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> list[tuple]:
     """One tuple in the order of FIELDS for each UTF-8 text."""
     out: list[tuple] = []
     block: list[tuple[bytes, list[bytes]]] = []
@@ -143,15 +226,15 @@ def measure(texts: list[bytes | None], window: int = WINDOW, min_words: int = MI
     def flush() -> None:
         if not block:
             return
-        covered, longest, spans = _block([w for _, w in block], window)
-        for (text, words), c, m, s in zip(block, covered.tolist(), longest.tolist(), spans, strict=True):
+        found = _block([w for _, w in block], window, least)
+        for (text, words), r, c, m, k, s in zip(block, *(x.tolist() for x in found[:4]), found[4], strict=True):
             n = len(words)
             joined = b"".join(words)
             # Code points are the bytes that don't continue another.
             chars = len(joined.decode("utf-8", "replace"))
             symbols = len(joined) - len(joined.translate(None, SYMBOLS))
-            base = n < min_words or 100 * c > 30 * n
-            out.append((n, chars, symbols, _dup_lines(text), c, m, s, base, not (base or c > max_covered * n or m > max_longest)))
+            base = n < min_words or 100 * r > 30 * n
+            out.append((n, chars, symbols, _dup_lines(text), r, c, m, k, s, base, not (base or c > max_covered * n or m > max_longest * n)))
         block.clear()
 
     for text in texts:
@@ -166,25 +249,29 @@ def measure(texts: list[bytes | None], window: int = WINDOW, min_words: int = MI
     return out
 
 
-def repetition_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
+def repetition_rules(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, min_words: int = MIN_WORDS, least: int = LEAST_REPEAT, max_covered: float = MAX_COVERED, max_longest: float = MAX_LONGEST) -> DataFrame:
     """The columns ``keep`` of ``docs`` with what its texts repeat, and whether they may stay.
 
-    Words are runs of characters other than ASCII white space. ``spans``: words [start, end) in
-    passages of ``window`` words or more that occur again in the same text. ``kept`` is false for
-    fewer than ``min_words`` words, more than ``max_covered`` of the words in such passages, or a
-    passage longer than ``max_longest`` words that occurs again.
+    Words are runs of characters other than ASCII white space. ``n_repeat_words``: words in windows
+    of ``window`` words that the text has twice or more. Of the maximal repeated substrings of
+    ``least`` words or more: ``n_maximal`` their number, ``longest_repeat`` the words of the longest,
+    ``n_covered`` the words in any of their places, ``spans`` those places as words [start, end).
+
+    ``base_failed``: fewer than ``min_words`` words, or over 30 % of them in repeated windows.
+    ``kept``: the base holds, maximal repeats cover at most ``max_covered`` of the words, and the
+    longest has at most ``max_longest`` of them.
 
     One row for each row of ``docs``, in no order; only the named columns are read, so others may
     have any names. A null or empty text has no words and isn't kept; an empty table gives no rows;
-    repeated rows are measured each for itself.
+    repeated rows are measured each for itself; a text of any length is measured as a whole.
     """
     tune(docs.sparkSession)
     source, name = with_text(docs, keep, text)
     names = [x.split()[0] for x in FIELDS.split(", ") if not x.startswith(" ")]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = measure(utf8(batch, name), window, min_words, max_covered, max_longest)
-        kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] + [pa.bool_()] * 2
+        rows = measure(utf8(batch, name), window, min_words, least, max_covered, max_longest)
+        kinds = [pa.int64()] * 8 + [pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))] + [pa.bool_()] * 2
         new = [pa.array(list(v), k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + new, [*keep, *names])
 
