@@ -1,19 +1,24 @@
 """Blocks of an HTML page: a forgiving parser and the features of its block elements.
 
 Only block elements are nodes. Inline markup is seen through; links count as link text of the node
-around them. Nothing recurses, so depth is no limit; each pass is linear in the page.
+around them. Nothing recurses, so depth is no limit. Each pass is linear in the page, whatever its
+markup: open elements are found by their tag, and no part of a tag that never ends is read twice.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
 
 import numpy as np
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*')*+|[^>]*)>""", re.S)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+#: What may end a tag, or begin a value that may hold a ">".
+_STOP = re.compile(r""">|=\s*(["'])""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 #: Ends of the names of attributes that are read; those of others aren't, whatever their values hold.
 _READ = ("class", "id", "role", "itemprop", "aria-label", "style", "hidden")
@@ -24,10 +29,11 @@ _SENTENCE = re.compile(r"[.!?;:…。]")
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Elements whose content is no text of the page.
+#: Elements whose content isn't markup; that of xmp is text, that of the others no text of the page.
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "title", "xmp", "noembed", "noframes"}
 _END_OF = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
-SKIPPED = {"head", "svg", "math", "select", "button", "object", "canvas", "audio", "video", "datalist"}
+#: The head, parts of forms, and what a player shows only where it can't play.
+SKIPPED = {"head", "select", "button", "datalist", "canvas", "audio", "video"}
 BLOCKS = HEADINGS | {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "header", "hgroup", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
@@ -75,6 +81,50 @@ _GROUP_OF = {tag: i for i, group in enumerate(_GROUPS) for tag in group}
 _AROUND_OF = {tag: 1 << i for i, group in enumerate(_AROUND) for tag in group}
 
 
+class _Tags:
+    """Tags of a page from left to right: (start, end, name, attributes); no name for comments and the like."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+        #: Places of values that a tag without an end has been read through.
+        self.dead: set[int] = set()
+
+    def _end(self, at: int) -> int:
+        """Place of the ">" that ends a tag whose name ends at ``at``: one outside of quoted values,
+        or the first of all if there is none. There is one somewhere."""
+        i, seen = at, []
+        while i <= self.last[">"] and (m := _STOP.search(self.html, i)):
+            if not m[1]:
+                return m.start()
+            if m.start() in self.dead or m.end() > self.last[m[1]]:
+                break
+            seen.append(m.start())
+            i = self.html.index(m[1], m.end()) + 1
+        self.dead.update(seen)
+        return self.html.index(">", at)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, str]]:
+        html, self.at = self.html, 0
+        while (start := html.find("<", self.at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                self.at = len(html) if end < 0 else end + 3
+                yield start, self.at, "", ""
+            elif start > self.last[">"]:
+                return
+            elif m := _NAME.match(html, start + 1):
+                end = self._end(m.end())
+                self.at = end + 1
+                yield start, end + 1, m[0].lower(), html[m.end() : end]
+            elif html.startswith(("<!", "<?", "</"), start):
+                self.at = html.index(">", start) + 1
+                yield start, self.at, "", ""
+            else:
+                # A lone "<" is text, so what is before it isn't cut from what follows.
+                self.at = start + 1
+
+
 class Page:
     """Block elements in document order, and the texts that stand directly in them."""
 
@@ -98,8 +148,10 @@ class Page:
 
     def _parse(self, html: str) -> None:
         stack: list[tuple[str, int]] = [("", self._open("html", "", -1))]
+        #: Places in the stack of the open elements of each tag, and how many of them are skipped.
+        places: dict[str, list[int]] = defaultdict(list)
         held: list[str] = []
-        linked = links = skipped = open_p = 0
+        linked = skipped = 0
 
         def flush() -> None:
             nonlocal linked
@@ -112,57 +164,52 @@ class Page:
 
         def close(to: int) -> None:
             """Ends all open elements from place ``to`` of the stack up."""
-            nonlocal links, skipped, open_p
+            nonlocal skipped
             if any(t in BLOCKS for t, _ in stack[to:]):
                 flush()
             for t, _ in stack[to:]:
-                links -= t == "a"
+                places[t].pop()
                 skipped -= t in SKIPPED
-                open_p -= t == "p"
             del stack[to:]
 
         def last(tags: set[str], but: set[str] = frozenset()) -> int:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in tags:
-                    return i
-                if stack[i][0] in but:
-                    return 0
-            return 0
-
-        opened: dict[str, int] = {}
+            """Place of the last open element of ``tags``, if none of ``but`` is open in it; else 0."""
+            at = max((places[t][-1] for t in tags if places[t]), default=0)
+            return at if all(not places[t] or places[t][-1] < at for t in but) else 0
+
+        def say(text: str) -> None:
+            nonlocal linked
+            held.append(text)
+            if places["a"]:
+                linked += len(text.strip())
+
         at = 0
-        while m := _TOKEN.search(html, at):
-            if m.start() > at and not skipped:
-                text = html[at : m.start()]
-                if "&" in text:
-                    text = unescape(text)
-                held.append(text)
-                if links:
-                    linked += len(text.strip())
-            at = m.end()
-            if m[1]:
-                tag = m[1].lower()
-                if opened.get(tag, 0) and (i := last({tag})):
-                    for t, _ in stack[i:]:
-                        opened[t] -= 1
+        tags = _Tags(html)
+        for start, end, tag, attributes in tags:
+            if start > at and not skipped:
+                text = html[at:start]
+                say(unescape(text) if "&" in text else text)
+            at = end
+            if not tag:
+                continue
+            if tag[0] == "/":
+                tag = tag[1:]
+                if i := last({tag}):
                     close(i)
                 elif tag in BLOCKS:
                     flush()
                 continue
-            if not m[2]:
-                continue
-            tag = m[2].lower()
             if tag in RAW:  # up to its end tag nothing is markup
                 found = _END_OF[tag].search(html, at)
-                at = found.start() if found else len(html)
+                at = tags.at = found.start() if found else len(html)
+                if tag == "xmp" and not skipped:
+                    flush()
+                    say(html[end:at])
+                    flush()
                 continue
-            if tag in _NO_P and open_p and (i := last({"p"})):
-                for t, _ in stack[i:]:
-                    opened[t] -= 1
+            if tag in _NO_P and (i := last({"p"})):
                 close(i)
             if tag in _ENDS and (i := last(*_ENDS[tag])):
-                for t, _ in stack[i:]:
-                    opened[t] -= 1
                 close(i)
             if tag in VOID:
                 if tag == "hr":
@@ -172,17 +219,14 @@ class Page:
                 continue
             if tag == "body" and skipped:  # a head that was not closed
                 while skipped:
-                    opened[stack[-1][0]] -= 1
                     close(len(stack) - 1)
             node = stack[-1][1]
             if tag in BLOCKS:
                 flush()
                 if not skipped:
-                    node = self._open(tag, m[3], node)
-            links += tag == "a"
+                    node = self._open(tag, attributes, node)
             skipped += tag in SKIPPED
-            open_p += tag == "p"
-            opened[tag] = opened.get(tag, 0) + 1
+            places[tag].append(len(stack))
             stack.append((tag, node))
         if at < len(html) and not skipped:
             held.append(unescape(html[at:]))

@@ -1,14 +1,18 @@
 """Main text of HTML pages: boosted trees over DOM nodes, and decoding along the tree.
 
 The trees are fitted on ``PAGES`` made-up pages, a fixed number, with known main text; nothing of
-the table at hand goes into them. Each page of the table is parsed, its block elements get log-odds
+the table at hand goes into them. They stand in ``trees.npz``, which ``python -m
+girder.llm.html_extract`` writes anew. Each page of the table is parsed, its block elements get log-odds
 from the trees, and the best choice is kept in which no element stands in a dropped one.
 """
 
 from __future__ import annotations
 
+import io
+import pkgutil
 from functools import cache
 from html import unescape
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -23,9 +27,8 @@ PAGES = 1500
 SEED = 42
 
 
-@cache
-def model(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
-    """The trees, fitted once in a process."""
+def fitted(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
+    """Trees fitted on made-up pages; the same numbers give the same trees."""
     parsed, labels = [], []
     for html, known, _ in sample_pages(pages, seed):
         page = dom.Page(html)
@@ -35,6 +38,13 @@ def model(pages: int = PAGES, seed: int = SEED) -> boosting.Boosted:
     return boosting.fit(dom.features(parsed), np.array(labels, np.float64))
 
 
+@cache
+def model() -> boosting.Boosted:
+    """The trees as ``fitted`` made them, read once in a process."""
+    saved = np.load(io.BytesIO(pkgutil.get_data(__package__, "trees.npz")))
+    return boosting.Boosted(saved["feature"], saved["cut"], saved["leaf"], float(saved["base"]))
+
+
 def extract(htmls: list[str | None], trees: boosting.Boosted) -> list[str]:
     """Main text of each page."""
     pages = [dom.Page(h or "") for h in htmls]
@@ -71,3 +81,7 @@ def main_texts(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("p
         return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
     return source.mapInArrow(per_batch(run), ddl(source.select(*keep), "text string, n_chars long"))
+
+
+if __name__ == "__main__":
+    np.savez_compressed(Path(__file__).with_name("trees.npz"), **fitted()._asdict())

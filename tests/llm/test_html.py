@@ -1,10 +1,13 @@
 """HTML extraction: accuracy on held-out pages, the parser on odd markup, decoding, odd rows."""
 
 import itertools
+import math
 import random
 import re
+import time
 from collections import Counter
 from html import unescape
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -16,6 +19,12 @@ from girder.llm.sample_pages import sample_pages
 SF = "/root/testdata/sf0.001"
 
 
+def test_saved_trees_are_the_fitted_ones():
+    saved, fitted = html_extract.model(), html_extract.fitted()
+    x = dom.features([dom.Page(html) for html, _, _ in sample_pages(40, 11)])
+    assert np.abs(saved.logit(x) - fitted.logit(x)).max() < 1e-6
+
+
 def test_held_out_pages():
     """Pages made with another seed: nodes, words and whole texts."""
     trees = html_extract.model()
@@ -47,6 +56,97 @@ def test_query(spark):
     assert len(rows) == len(html) and good >= 0.96 * len(rows)
 
 
+class _Plain(HTMLParser):
+    """Blocks of a page by the standard library's parser: nodes with all that stands in them."""
+
+    def __init__(self):
+        super().__init__()
+        self.tags, self.up, self.said, self.gone, self.blocks, self.open, self.held, self.linked, self.links = ["html"], [-1], [""], [False], [], [0], [], 0, 0
+
+    def flush(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            self.blocks.append((self.open[-1], text, min(self.linked, len(text))))
+        self.held, self.linked = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.links += tag == "a"
+        if tag == "br":
+            self.held.append(" ")
+        if tag in dom.BLOCKS:
+            self.flush()
+            self.tags.append(tag)
+            self.up.append(self.open[-1])
+            self.said.append(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role", "itemprop", "aria-label")))
+            self.gone.append(any(k == "hidden" or k == "style" and "display:none" in (v or "").replace(" ", "") for k, v in attrs))
+            self.open.append(len(self.tags) - 1)
+
+    def handle_endtag(self, tag):
+        self.links -= tag == "a"
+        if tag in dom.BLOCKS:
+            self.flush()
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.held.append(data)
+        self.linked += len(data.strip()) if self.links else 0
+
+
+def plain_text(html, trees):
+    """Main text by definition: each feature counted over all blocks of a subtree, each tree walked
+    from its root, and each node kept if the best of its subtree is worth more than nothing."""
+    page = _Plain()
+    page.feed(re.sub(r"(?is)<head>.*?</head>|<(script|style|noscript|title|select|button|textarea)\b.*?</\1>", "", html))
+    page.close()
+    page.flush()
+    n = len(page.tags)
+    line = lambda i: [i, *line(page.up[i])] if i >= 0 else []
+    lines = [line(i) for i in range(n)]
+    own = [[b for b in page.blocks if b[0] == i] for i in range(n)]
+    below = [[b for b in page.blocks if i in lines[b[0]]] for i in range(n)]
+    under = [[j for j in range(n) if page.up[j] == i] for i in range(n)]
+    chars = lambda blocks: sum(len(t) for _, t, _ in blocks)
+    words = lambda blocks: sum(len(t.split(" ")) for _, t, _ in blocks)
+    stops = lambda blocks: sum(len(re.findall(r"[.!?;:…。]", t)) for _, t, _ in blocks)
+    tells = lambda said: [bool(group & {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", said)}) for group in dom.TOKENS]
+    rows, total = [], max(1, chars(page.blocks))
+    for i in range(n):
+        up = max(page.up[i], 0)
+        siblings = max(len(under[up]), 1)
+        start = chars(page.blocks[: page.blocks.index(below[i][0])]) if below[i] else 0
+        alike = sum(page.tags[j] == page.tags[i] for j in under[up]) if i else 0
+        c = chars(below[i])
+        rows.append([
+            math.log1p(c), math.log1p(chars(own[i])), sum(k for _, _, k in below[i]) / max(c, 1), math.log1p(c / sum(i in x for x in lines)), stops(below[i]) / max(words(below[i]), 1), min(stops(below[i]), 20), c / max(words(below[i]), 1), min(len(lines[i]) - 1, 30),
+            (under[up].index(i) if i else 0) / siblings, min(siblings, 50), min(alike, 50), math.log1p(chars(below[up]) / siblings), c / total, start / total, chars(below[up]) / total, min(len(under[i]), 50),
+            *(page.tags[i] in g if any(page.tags[i] in h for h in dom._GROUPS) else g is dom._GROUPS[4] for g in dom._GROUPS), *tells(page.said[i]), *map(any, zip(*(tells(page.said[j]) for j in lines[i][1:] or [0]), strict=True)), *(any(page.tags[j] in g for j in lines[i][1:]) for g in dom._AROUND),
+        ])
+
+    def logit(row):
+        out = trees.base
+        for feature, cut, leaf in zip(trees.feature.tolist(), trees.cut, trees.leaf.tolist(), strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if np.float32(row[feature[at]]) > cut[at] else 1)
+            out += leaf[at - len(feature)]
+        return out
+
+    odds = [logit(row) for row in rows]
+
+    def worth(i):
+        return -math.inf if page.gone[i] else odds[i] * (0.3 + math.log1p(chars(own[i]))) + sum(max(0.0, worth(j)) for j in under[i])
+
+    kept = [all(worth(j) > 0 for j in x[:-1]) for x in lines]
+    return "\n".join(t for i, t, _ in page.blocks if kept[i] and (i or odds[0] > 0))
+
+
+def test_query_against_brute_force(spark):
+    """Every row of the query over a whole table."""
+    trees = html_extract.model()
+    want = {r.page_id: plain_text(r.html, trees) for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    assert {r.page_id: r.text for r in QUERIES["op1_main_text"](spark, SF).collect()} == want
+
+
 BODY = "<article><h1>A title here</h1>{}</article>"
 PARAGRAPH = "<p>" + "Some words of the text that go on, and on, for a line or two. " * 4 + "</p>"
 
@@ -66,6 +166,13 @@ PARAGRAPH = "<p>" + "Some words of the text that go on, and on, for a line or tw
         ("<div>loose <div>inner</div> tail</div>", "loose\ninner\ntail"),
         ("<p>5 < 6 and 7 > 2</p>", "5 < 6 and 7 > 2"),
         ("</p></div></b>", ""),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> hold</p>", "Let x=1 hold"),
+        ("<p>a <object data=x>what it shows</object> b</p>", "a what it shows b"),
+        ("<p>a</p><svg><text>a label</text></svg>", "a\na label"),
+        ("<p>a</p><xmp><b>as it is</b></xmp>", "a\n<b>as it is</b>"),
+        ("<p title='x>y' class=a>b</p>", "b"),
+        ('<p title="never closed>b</p>', "b"),
+        ("<p class=it's>b</p><p>don't</p>", "b\ndon't"),
     ],
 )
 def test_parser(inside, found):
@@ -123,6 +230,21 @@ def test_odd_rows(spark):
     assert got[1] == got[2] == got[9] == "" and got[5].count("\n") == 3000
 
 
+@pytest.mark.parametrize("markup", ["<a ", "<a x='", '<a x=">" ', '<a x=">"', "<!-- ", "<", "</p ", "<ul><li>", "<table><tr><td>", "<p><b>", "<a>x", "<a ="])
+def test_markup_without_end_takes_linear_time(markup):
+    """A megabyte of it, and of it before a last ">"."""
+    for end in ("", ">"):
+        began = time.time()
+        dom.features([dom.Page(markup * (1_000_000 // len(markup)) + end)])
+        assert time.time() - began < 30
+
+
+def test_items_in_deep_blocks():
+    began = time.time()
+    page = dom.Page("<div>" * 100_000 + "<li>x" * 100_000)
+    assert len(page.tag) == 200_001 and len(page.blocks) == 100_000 and time.time() - began < 30
+
+
 def test_attributes_of_any_length():
     """A long payload changes nothing, on either side of the class, and isn't read itself."""
     payload = "data-state='{" + '"hidden": false, "class": "nav", ' * 300 + "}' data-image=\"" + "A" * 200_000 + '"'
