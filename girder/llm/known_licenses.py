@@ -19,6 +19,12 @@ EQUIVALENT: list[tuple[str, str]] = [
     ("copyright owner", "copyright holder"),
 ]
 
+# Words that follow "copyright" within the sentences of licenses, where a line may break.
+IN_SENTENCES = [
+    "act", "also", "and", "any", "are", "as", "claim", "claims", "disclaimer", "doctrines", "for", "holder", "holders", "if", "in", "infringement", "interest", "interests", "is", "law", "laws", "license", "licence", "licenses", "licences", "line", "material", "notice", "notices",
+    "of", "on", "or", "owner", "owners", "ownership", "permission", "protection", "resulting", "rights", "statement", "status", "term", "terms", "that", "the", "this", "to", "treaty", "treaties", "under", "which", "work", "works",
+]
+
 _AS_IS_MIT = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 
 _GRANT_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"""
@@ -105,9 +111,11 @@ KNOWN: list[tuple[str, str]] = [
     ("GPL-3.0-or-later", "SPDX-License-Identifier: GPL-3.0-or-later"),
     ("ISC", _ISC),
     ("ISC", "ISC License\n\n" + _ISC),
+    ("ISC", "The ISC License\n\n" + _ISC),
     ("MIT", _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
+    ("MIT", "The MIT License\n\n" + _MIT),
     ("MIT", "Released under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT-0", f"{_GRANT_MIT}.\n\n{_AS_IS_MIT}"),
@@ -117,20 +125,29 @@ KNOWN: list[tuple[str, str]] = [
 ]
 
 # Full texts that are too long to stand here, as (name, first word, SHA-256 of the
-# canonical form), taken from /usr/share/common-licenses of Debian. A text of the GNU licenses doesn't
-# say whether later versions may be chosen, so its name doesn't either.
+# canonical form), as Debian and SPDX give them. A text of the GNU licenses doesn't say whether later
+# versions may be chosen, so its name doesn't either. Editions: with and without an appendix, and with
+# a postal address or without.
 FULL_TEXTS: list[tuple[str, str, str]] = [
     ("Apache-2.0", "apache", "04e64e0427d80fdde16fa8415931bf2c09bc943f13ec322a09df188bf23a3543"),
+    ("Apache-2.0", "apache", "119e2da0e9ec849d113a40405b338c1bbbd2ef9194c22bf2740fa4e195411c40"),
+    ("Apache-2.0", "apache", "824065d72ca31b7c727341396be4cf76f464b15d9bef680a3638007ce92a009f"),
     ("Artistic-1.0-Perl", "the", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+    ("BSD-3-Clause", "redistribution", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC-BY-SA-4.0", "attribution", "49259de2e41746a2de3ac8abe98d6effcc752e1bb462ce8dae8c86b9d34d94bc"),
     ("CC0-1.0", "creative", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
     ("GFDL-1.2", "gnu", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
     ("GFDL-1.3", "gnu", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
-    ("GPL-1.0", "gnu", "eafda7cb5e995143f4d45ef2107eb160d6856afabed7c48b1b317303bc40a7e6"),
+    ("GPL-1.0", "gnu", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "gnu", "aa997bc1c3422ccdc7ccabdc6f9aaa9ce2ebeed7be208887d2b13ff901326c75"),
     ("GPL-2.0", "gnu", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
     ("GPL-3.0", "gnu", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("ISC", "isc", "78d12b012407f04494ad9447817157c702f9bc389600604ae4e0d6a025f6d32f"),
     ("LGPL-2.0", "gnu", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
     ("LGPL-2.1", "gnu", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-3.0", "gnu", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
-    ("MPL-1.1", "mozilla", "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-1.1", "mozilla", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
     ("MPL-2.0", "mozilla", "6fedd8db6adb0e102fc0f69b9e1501d2edaf25940e34910831cab46f9f5d4e4d"),
+    ("OFL-1.1", "sil", "95e31f8a9723c2605049fb76e743be71bd9d186ee6ebd18c3951a263cb15efb3"),
+    ("Unicode-3.0", "unicode", "53113a39b79251016cf92b8348f303cee44e4faee1f232536754abc669dd32c8"),
 ]

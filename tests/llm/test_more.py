@@ -1,7 +1,11 @@
 """Operators 5, 6, 7, 9 and 10 against SQL or brute force, on odd rows and on the small tables."""
 
+import hashlib
+import itertools
 import math
 import random
+import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -12,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from girder.llm import bpe, chat, ivfpq, kdtree, licenses, wordpiece
-from girder.llm.known_licenses import KNOWN
+from girder.llm.known_licenses import EQUIVALENT, FULL_TEXTS, IN_SENTENCES, KNOWN
 from girder.llm.queries import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -51,6 +55,80 @@ def test_licenses(spark, odd, empty):
     assert not licenses.license_scan(odd).where("license is not null").count()
 
 
+def plain_form(text):
+    """The canonical form by a way of its own: line by line and character by character."""
+    words = lambda x: "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in x).split()
+    kept = []
+    for line in text.replace("İ", "i").lower().replace("ς", "σ").split("\n"):
+        said, marked = words(line), re.search(r"\d{4}|19yy|year|yyyy|all rights reserved", line.replace("٠", "x"))
+        begins = "".join(itertools.takewhile(lambda c: unicodedata.category(c)[0] not in "LMN", line))
+        notice = "©" in begins or said == ["all", "rights", "reserved"]
+        if said[:1] == ["copyright"]:
+            notice |= bool(marked) or len(said) > 1 and said[1] not in IN_SENTENCES
+        elif line[len(begins) :].startswith("c)") and begins.endswith("("):
+            notice |= bool(marked)
+        if not notice:
+            kept.append(line)
+    out = " ".join(words("\n".join(kept).replace("&", " and ")))
+    for one, other in EQUIVALENT:
+        out = out.replace(one, other)
+    return out
+
+
+def plain_license(text):
+    by = {}
+    for name, known in KNOWN:
+        by.setdefault(plain_form(known), set()).add(name)
+    full = {digest: name for name, _, digest in FULL_TEXTS}
+    form = plain_form(text)
+    return min(by.get(form, ()), default=full.get(hashlib.sha256(form.encode()).hexdigest()))
+
+
+MIT = dict(reversed(KNOWN))["MIT"]
+
+
+def planted():
+    """Whole license texts in many dresses, and texts that only nearly are."""
+    rng = random.Random(12)
+    out = [("这不是自由软件，不要复制\n" + MIT, None), ("Это не свободная программа.\n" + MIT, None), (MIT + "\nЛицензия", None), (MIT.replace("free of charge", "for a charge"), None), ("Not the " + MIT, None), ("", None), ("Copyright 2020 Me", None)]
+    heads = ["Copyright John Smith. All rights reserved.", "Copyright (c) 2020 A. Person", "© Jemand", "# Copyright by Some One", "(C) 1999, Somebody\nAll rights reserved.", "COPYRIGHT: The Authors, 2001-2004", "Copyright <year> <holder>", "Copyright Ünal Çelik"]
+    for name, text in KNOWN:
+        if len(text) > 400:
+            for head in heads:
+                body = text
+                if rng.random() < 0.5:  # lines broken elsewhere, also before "copyright"
+                    body = re.sub(r" (copyright) ", r"\n\1 ", body) if rng.random() < 0.5 else re.sub(r"\s+", lambda m: "\n" if rng.random() < 0.2 else " ", body)
+                if rng.random() < 0.5:
+                    body = rng.choice([str.upper, str.lower])(body)
+                if rng.random() < 0.3:
+                    body = re.sub(r"[.,;:()\"']", lambda m: rng.choice([m[0], " ", "—"]) if m[0] in ".,;:\"'" else m[0], body)
+                out.append((f"{head}\n\n{body}".replace("license", rng.choice(["license", "licence"])), name))
+    return out
+
+
+def test_planted_whole_texts(spark):
+    """Whole texts are found and additions in any script aren't forgiven; Spark, DuckDB and plain Python agree."""
+    texts = planted()
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, (t, _) in enumerate(texts)], "doc_id long, text string, license int, line_licenses int")
+    got = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    for i, (text, name) in enumerate(texts):
+        assert got[i].license == plain_license(text) == name, text[:200]
+        assert got[i].digest == hashlib.sha256(plain_form(text).encode()).hexdigest()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (t, _) in enumerate(texts)])
+    assert {r[0]: r[1:3] for r in con.execute(licenses.sql()).fetchall()} == {i: (r.digest, r.license) for i, r in got.items()}
+
+
+def test_query_against_plain_forms(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    rows = {r.doc_id: r for r in QUERIES["op5_licenses"](spark, SF).collect()}
+    assert len(rows) == len(docs)
+    for d in docs:
+        lines = sorted({plain_license(x) for x in d.text.split("\n")} - {None})
+        assert (rows[d.doc_id].digest, rows[d.doc_id].license, rows[d.doc_id].line_licenses) == (hashlib.sha256(plain_form(d.text).encode()).hexdigest(), plain_license(d.text), ",".join(lines))
+
+
 @pytest.mark.skipif(not Path("/usr/share/common-licenses").is_dir(), reason="full license texts aren't installed")
 def test_full_license_texts(spark):
     names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
