@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than space, \t, \n, \v, \f and \r.
@@ -26,15 +26,51 @@ def tune(spark: SparkSession) -> None:
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that the cluster shares; its lineage ends there.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set (tests on one
-    machine) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and all runs on one
+    machine (tests) a temporary one is made; on a cluster that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
     return df.checkpoint(eager=True)
 
 
+#: Most rows of a small table that are broadcast, and the parts that a key is dealt in where there are more.
+MOST_BROADCAST = 50_000
+DEALS = 64
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str, deal: Column, most: int | None = None, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``table``, which has a row for each value of ``key`` at most; nulls match.
+
+    The table is broadcast if it is known to have ``most`` rows at most, or is counted to have few.
+    Else rows go by key and a part of ``deal``, a long, so that a common key is dealt over many tasks.
+    """
+    right = table.withColumnRenamed(key, "__of")
+    match = F.col(key).eqNullSafe(F.col("__of"))
+    if (table.count() if most is None else most) <= MOST_BROADCAST:
+        return rows.join(F.broadcast(right), match, how).drop("__of")
+    right = right.withColumn("__dealt", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(deal, F.lit(DEALS)).cast("int"))
+    return dealt.join(right, match & (F.col("__deal") == F.col("__dealt")), how).drop("__of", "__deal", "__dealt")
+
+
+def places(values: DataFrame) -> DataFrame:
+    """``(value, place)``: the distinct values of the one column, numbered from 0 in their order, null last.
+
+    Values are dealt by ranges, numbered within a range, and a range begins where those before it end.
+    """
+    of = values.columns[0]
+    dealt = saved(values.select(F.col(f"`{of}`").alias("value")).distinct().repartitionByRange(F.col("value").asc_nulls_last()).select("value", F.spark_partition_id().alias("range")))
+    sizes = dealt.groupBy("range").count()  # one row for each partition
+    before = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("before"))
+    within = F.row_number().over(Window.partitionBy("range").orderBy(F.col("value").asc_nulls_last())) - 1
+    return dealt.withColumn("within", within).join(F.broadcast(before), "range").select("value", (F.col("before") + F.col("within")).cast("long").alias("place"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text as a long; null counts as no words."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -184,6 +184,32 @@ def test_conversations(spark):
     assert got == {1: [("user", "a"), ("assistant", "c"), ("assistant", "c"), ("user", "b")], 2: [(None, None)], None: [("user", "z")]}
 
 
+def test_turns_without_an_id_are_not_gathered(spark):
+    """Two thirds of all rows have none; each is a conversation, and no group of them is made."""
+    df = spark.createDataFrame([(None if i % 3 else i, i, "assistant", f"t{i}") for i in range(300)], "conv_id long, turn long, role string, text string")
+    rows = chat.conversations(df).collect()
+    assert Counter(len(r.turns) for r in rows) == {1: 300} and sorted(r.turns[0].text for r in rows if r.conv_id is None) == sorted(f"t{i}" for i in range(300) if i % 3)
+
+
+def test_other_reply_over_gaps(spark):
+    ids = [*range(0, 40, 7), 63, 64, 128, 130, 191, 1000]
+    kind = "array<struct<role:string,text:string>>"
+    convs = [(i, [("user", f"q{i}"), ("assistant", f"a{i}"), ("user", "thanks")]) for i in ids] + [(65, [("user", "no reply")]), (None, [("user", "q"), ("assistant", "a")])]
+    got = {r.conv_id: [tuple(t) for t in r.rejected] for r in chat.with_other_reply(spark.createDataFrame(convs, f"conv_id long, turns {kind}")).collect()}
+    for i in ids:
+        near = [j for j in ids if j // 64 == i // 64]
+        other = near[(near.index(i) + 1) % len(near)]
+        assert got[i] == [("user", f"q{i}")] + ([("assistant", f"a{other}")] if other != i else [])
+    assert got[65] == [("user", "no reply")] and got[None] == [("user", "q")]
+
+
+def test_preference_sql_on_odd_rows(spark, tmp_path):
+    rows = [(1, 1, "user", "a"), (1, 2, "assistant", "b"), (2, 1, "user", "a"), (2, 2, "assistant", None), (2, 2, "assistant", None), (9, 0, None, "x<|end|>"), (None, 1, "assistant", "n"), (None, 1, "assistant", "n"), (None, None, None, None), (70, 1, "assistant", "alone"), (1, 1, "user", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = QUERIES["op6_preference"](spark, str(tmp_path))
+    assert Counter(map(tuple, out.collect())) == by_sql(SQL["op6_preference"], out.columns, tmp_path)
+
+
 # --- k-d tree
 
 
