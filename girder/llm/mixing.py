@@ -8,7 +8,9 @@ documents that come first in a seeded order, until the target is reached.
 The seeded order is that of a hash. Where it has to be cut is found in passes: sizes by source and
 bucket of the hash, 256 of them and combined map-side, then the same within the bucket that holds
 the cut, and at last the documents of a bucket that holds a 2**24th of its source. So neither a
-source with most of the rows nor its order ever meets in one task.
+source with most of the rows nor its order ever meets in one task. Copies of one document share a
+place; where the cut falls among them they are counted, and as many are taken as bring the source
+nearest to its target.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved, word_count
+from .common import looked_up, places, saved, word_count
 
 #: Production parameters.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -24,12 +26,10 @@ SHARE = 1.5
 MAX_EPOCHS = 2.0
 SEED = 42
 
-#: Most sources that are broadcast, and the parts that a source is dealt in where there are more.
-MOST_BROADCAST = 50_000
-_DEALS = 64
-
 #: Bits of a place in the seeded order; bits that a pass looks at, and passes.
 _PLACES, _STEP, _PASSES = 63, 8, 3
+#: Copies of a document that one row makes at once.
+_AT_ONCE = 10_000
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
@@ -38,9 +38,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     Sources in order of code points, null last, weigh ``weights`` in turn, repeating, and share
     ``share`` times all sizes. A mix of more than ``max_epochs`` times everything is cut to that.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = (F.row_number().over(order) - 1) % len(weights)
-    known = saved(sizes.select("source", "source_size", F.get(F.array(*map(F.lit, map(float, weights))), turn).alias("weight")))
+    turns = places(sizes.select("source")).select(F.col("value").alias("source"), (F.col("place") % len(weights)).cast("int").alias("turn"))
+    known = saved(looked_up(sizes, turns, "source", F.xxhash64("source")).select("source", "source_size", F.get(F.array(*map(F.lit, map(float, weights))), F.col("turn")).alias("weight")))
     limit = F.col("source_size") * F.lit(float(max_epochs))
     total = min(share, max_epochs) * float(known.agg(F.sum("source_size")).first()[0] or 0)
     level, clamped = 0.0, -1
@@ -63,8 +62,8 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
     """What each document weighs, and what each source gives.
 
     First ``(doc_id, source, size, at)``, written once; second one row for each source: ``(source,
-    source_size, target, whole, cut)``: documents with ``at <= cut`` are taken once more than
-    ``whole`` times.
+    source_size, target, whole, cut, tie, take)``: documents with ``at <= cut`` are taken once more
+    than ``whole`` times, and so are ``take`` of those at ``tie``, if that isn't null.
     """
     sized = saved(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _order(doc_id, text, seed).alias("at")))
     aims = saved(
@@ -79,30 +78,48 @@ def plan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: st
         sums = found.groupBy("source", "left", F.shiftright("at", low).alias("bucket")).agg(F.sum("size").alias("n"))
         before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
         cuts = saved(before.where("n > 0 and before < left and left <= before + n").select("source", "bucket", (F.col("left") - F.col("before")).alias("left")))
-    # Documents of the last bucket; equal places (repeated rows) go together. A place is taken if
-    # that brings the source nearer to its target.
-    edge = _joined(sized, cuts).where(F.shiftright("at", low) == F.col("bucket")).groupBy("source", "bucket", "left", "at").agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("source").orderBy("at"))
-    inside = edge.withColumn("upto", upto).where(F.col("upto") - F.col("n") / 2 <= F.col("left")).groupBy("source").agg(F.max("at").alias("edge"))
-    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
-    ends = cuts.alias("c").join(inside.alias("i"), same("c", "i"), "left").select("c.source", F.coalesce("i.edge", F.shiftleft("c.bucket", low) - 1).alias("cut"))
-    out = aims.alias("a").join(ends.alias("e"), same("a", "e"), "left").select("a.source", "source_size", "target", "whole", F.coalesce("e.cut", F.lit(-1).cast("long")).alias("cut"))
+    # Places of the last bucket: those that fit whole, and of the one that is cut so many copies.
+    edge = _joined(sized, cuts).where(F.shiftright("at", low) == F.col("bucket")).groupBy("source", "bucket", "left", "at").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("copies"))
+    upto = edge.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("at")))
+    before = F.col("upto") - F.col("n")
+    split = F.when((before < F.col("left")) & (F.col("upto") > F.col("left")), F.struct("at", F.round((F.col("left") - before) * F.col("copies") / F.col("n")).cast("long").alias("take"), "copies"))
+    ends = upto.groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("left"), F.col("at"))).alias("fit"), F.max(split).alias("split"), F.min("bucket").alias("bucket"))
+    every, some = F.col("split.take") == F.col("split.copies"), (F.col("split.take") > 0) & (F.col("split.take") < F.col("split.copies"))
+    ends = ends.select("source", F.coalesce(F.when(every, F.col("split.at")), "fit", F.shiftleft("bucket", low) - 1).alias("cut"), F.when(some, F.col("split.at")).alias("tie"), F.when(some, F.col("split.take")).alias("take"))
+    match = F.col("a.source").eqNullSafe(F.col("e.source"))
+    out = aims.alias("a").join(ends.alias("e"), match, "left").select("a.source", "source_size", "target", "whole", F.coalesce("e.cut", F.lit(-1).cast("long")).alias("cut"), "e.tie", "e.take")
     return sized, saved(out)
 
 
 def _joined(rows: DataFrame, of_source: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``of_source``, which has a row for each source at most.
+    """``rows``, with a source and a place in the order, and the columns of ``of_source``."""
+    return looked_up(rows, of_source, "source", F.col("at"))
+
+
+def _repeated(rows: DataFrame, times: str) -> DataFrame:
+    """Each row as often as its column ``times`` says; many copies of one are made by many tasks."""
+    parts = rows.where(F.col(times) > 0).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / _AT_ONCE))))
+    dealt = parts.repartition(F.xxhash64(*(F.col(f"`{c}`") for c in parts.columns)))
+    return dealt.withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(_AT_ONCE), F.col(times) - F.col("__part") * _AT_ONCE)))).drop("__part", "__turn", times)
+
 
-    The sources are broadcast if they are few. Else rows go by source and a part of their place in
-    the order, so that a common source is dealt over many tasks.
+def _with_repeats(rows: DataFrame, aims: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of each of ``rows`` and ``repeats``, how often the mix has it.
+
+    Equal rows at a place that is cut are counted, and the first ``take`` of them are taken once more.
     """
-    right = of_source.withColumnRenamed("source", "__of")
-    match = F.col("source").eqNullSafe(F.col("__of"))
-    if of_source.count() <= MOST_BROADCAST:
-        return rows.join(F.broadcast(right), match).drop("__of")
-    right = right.withColumn("__deal", F.explode(F.sequence(F.lit(0), F.lit(_DEALS - 1))))
-    dealt = rows.withColumn("__deal", F.pmod(F.col("at"), F.lit(_DEALS)).cast("int"))
-    return dealt.join(right.withColumnRenamed("__deal", "__dealt"), match & (F.col("__deal") == F.col("__dealt"))).drop("__of", "__deal", "__dealt")
+    joined = _joined(rows, aims)
+    once = F.col("whole") + (F.col("at") <= F.col("cut")).cast("int")
+    if aims.where("tie is not null").isEmpty():
+        return joined.select(*columns, once.alias("repeats"))
+    tied = F.coalesce(F.col("at") == F.col("tie"), F.lit(False))
+    equal = joined.where(tied).groupBy(*columns, *([] if "source" in columns else ["source"]), "whole", "take").agg(F.count(F.lit(1)).alias("copies"))
+    order = Window.partitionBy("source").orderBy(F.xxhash64(*columns)).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("take") - F.coalesce(F.sum("copies").over(order), F.lit(0))
+    more = F.greatest(F.lit(0), F.least(F.col("copies"), left))
+    sides = equal.withColumn("more", more).withColumn("side", F.explode(F.array(F.struct((F.col("whole") + 1).alias("repeats"), F.col("more").alias("copies")), F.struct(F.col("whole").alias("repeats"), (F.col("copies") - F.col("more")).alias("copies")))))
+    dealt = _repeated(sides.select(*columns, F.col("side.repeats").alias("repeats"), F.col("side.copies").alias("__copies")), "__copies")
+    return joined.where(~tied).select(*columns, once.alias("repeats")).unionByName(dealt)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -111,17 +128,21 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     ``size``: words, 0 for a null or empty text. ``repeats``: how often the mix has the document,
     ``max_epochs`` rounded up at most; ``taken`` = size * repeats. Documents without words have a
     source's whole repetitions, and another where their place in the order says so. Null is a source
-    like another, the last. Documents that are equal in id and text are taken alike. An empty table
-    gives no rows; other columns may have any names. The same rows and seed give the same result.
+    like another, the last. Of documents that are equal in id and text, some may be taken once more
+    than others, so a source of such copies comes as near to its target as any. An empty table gives
+    no rows; other columns may have any names. The same rows and seed give the same result.
     """
     sized, aims = plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
-    repeats = F.col("whole") + (F.col("at") <= F.col("cut")).cast("int")
-    return _joined(sized, aims).select("doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (F.col("size") * repeats).alias("taken"))
+    out = _with_repeats(sized, aims, ["doc_id", "source", "size", "source_size", "target"])
+    return out.withColumn("taken", F.col("size") * F.col("repeats"))
 
 
 def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as ``mix`` says, with their columns."""
+    """The mix itself: the rows of ``docs``, each as often as ``mix`` says, with their columns.
+
+    Odd rows are as in ``mix``; columns may have any names, but none may be a map.
+    """
     _, aims = plan(docs, doc_id, text, source, weights, share, max_epochs, seed)
-    times = F.col("whole") + (F.col("at") <= F.col("cut")).cast("int")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source).alias("source"), _order(doc_id, text, seed).alias("at"))
-    return _joined(rows, aims).where(times > 0).withColumn("turn", F.explode(F.sequence(F.lit(1), times))).select("row.*")
+    out = _with_repeats(rows, aims, ["row"])
+    return out.where("repeats > 0").withColumn("turn", F.explode(F.sequence(F.lit(1), "repeats"))).select("row.*")

@@ -6,8 +6,9 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from girder.llm import bpe, mixing, repetition, simhash
+from girder.llm import bpe, common, mixing, repetition, simhash
 from girder.llm.common import word_count
 from girder.llm.components import components
 from girder.llm.queries import QUERIES
@@ -128,14 +129,45 @@ def test_mix_query(spark):
 def test_mix_odd(spark, odd, empty):
     docs = odd.select("doc_id", "text", "source").collect()
     check_mix(mixing.mix(odd).collect(), docs)
-    repeats = Counter({(r.doc_id, r.source): r.repeats for r in mixing.mix(odd).collect()})
-    got = Counter((r.doc_id, r.source) for r in mixing.mixed(odd).collect())
-    copies = Counter((r.doc_id, r.source) for r in docs)
-    assert got == Counter({k: n * copies[k] for k, n in repeats.items() if n})
+    repeats = Counter()
+    for r in mixing.mix(odd).collect():
+        repeats[r.doc_id, r.source] += r.repeats
+    assert Counter((r.doc_id, r.source) for r in mixing.mixed(odd).collect()) == +repeats
     assert mixing.mixed(odd).columns == odd.columns
     assert mixing.mix(empty).count() == mixing.mixed(empty).count() == 0
 
 
+@pytest.mark.parametrize("most_broadcast", [50_000, 0])
+def test_mix_of_copies(spark, monkeypatch, most_broadcast):
+    """A source of copies of one row comes as near to its target as one of different documents, in any order of the rows."""
+    monkeypatch.setattr(common, "MOST_BROADCAST", most_broadcast)
+    monkeypatch.setattr(mixing, "_AT_ONCE", 7)
+    rows = [(1, "one two three four five", "a")] * 100 + [(i, "w " * (i % 9 + 1), "b") for i in range(2, 200)] + [(i, "x y", None) for i in range(300, 330)]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, take int")
+    out = mixing.mix(df, weights=(1.0, 3.0, 2.0), share=1.3).collect()
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    want, taken = plain_targets(sizes, (1, 3, 2), 1.3), defaultdict(int)
+    for r in out:
+        taken[r.source] += r.taken
+        assert 0 <= r.taken <= 2 * r["size"] and r.source_size == sizes[r.source]
+    assert all(abs(taken[s] - want[s]) <= 5 for s in sizes) and len(out) == len(rows) and 0 < want["a"] % sizes["a"]
+    assert sorted(map(str, out)) == sorted(map(str, mixing.mix(df.repartition(5).orderBy(F.rand(3)), weights=(1.0, 3.0, 2.0), share=1.3).collect()))
+    made = Counter()
+    for r in out:
+        made[r.doc_id, r.source] += r.repeats
+    assert Counter((r.doc_id, r.source) for r in mixing.mixed(df, weights=(1.0, 3.0, 2.0), share=1.3).collect()) == +made
+
+
+def test_places(spark, empty):
+    values = ["b", "a", None, "ab", "é", "", "b", "😀", "Z", None]
+    got = {r.value: r.place for r in common.places(spark.createDataFrame([(v,) for v in values], "x string")).collect()}
+    order = sorted({v for v in values if v is not None}, key=lambda v: v.encode())
+    assert got == {v: i for i, v in enumerate([*order, None])}
+    assert common.places(empty.select("source")).count() == 0
+
+
 def test_words_are_bytes_split(spark, odd):
     for r in odd.select("text", word_count(odd.text).alias("n")).collect():
         assert r.n == len((r.text or "").encode().split())
