@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,19 +24,31 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the checkpoint folder that the cluster shares; its lineage ends there.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where none is set and all runs on one
-    machine (tests) a temporary one is made; on a cluster that is an error.
+    Only where none is set and all runs on one machine (tests) a temporary one is made; on a cluster
+    that is an error.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not sc.master.startswith("local"):
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp("-checkpoint"))
-    return df.checkpoint(eager=True)
+        folder = tempfile.mkdtemp("-checkpoint")
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written once, as a table in the folder that the cluster shares; its lineage ends there.
+
+    What is read again has the size of its files for an estimate. (Estimates of a checkpoint are those
+    of the plan behind it, and multiply from round to round.)
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Most rows of a small table that are broadcast, and the parts that a key is dealt in where there are more.

@@ -7,8 +7,10 @@ must visit for its true neighbours to be in them.
 Equal vectors are one entry of the index, with its smallest ids, as many as a result can need. The
 index is one row for each entry: list, codes, id. Lists are packed into blocks of about
 ``BLOCK_ROWS`` entries, and a list that is larger is dealt over several. Queries, one for each
-different vector, go in chunks to the blocks that hold their lists. A block and a chunk meet in one
-task: inner products with the codewords make a table for each query, and sums over codes score every
+different vector, go to the blocks that hold their lists; where more than ``QUERY_ROWS`` visit a block
+they go in chunks, and only that block is read once for each of its chunks. Lists grow in number with
+the square root of the table, up to an eighth of the sample, so that blocks stay as they are and the
+queries of a block don't grow with the table. A block and a chunk meet in one task: inner products with the codewords make a table for each query, and sums over codes score every
 entry. Each entry carries its own quantisation error, the length of what the codes leave of it, which
 bounds how far its score can be off. The exact scores of the ``RERANK`` best give a floor; every entry
 that the bound doesn't put below it is scored exactly on the original vectors, which stand in the
@@ -32,7 +34,6 @@ from .common import per_batch, saved, tune
 #: Production parameters. SAMPLE bounds the vectors that the driver fits on; RERANK doesn't bound what
 #: is scored exactly, only what the floor of a block is taken from.
 SAMPLE = 20_000
-MAX_LISTS = 1024
 CODEWORDS = 256
 SUB_DIMS = 2
 ROUNDS = 8
@@ -98,7 +99,7 @@ def fit(sample: np.ndarray, total: int, k: int, seed: int = SEED) -> Model:
     """Model from unit vectors ``sample`` of a table of ``total`` vectors, for ``k`` neighbours."""
     rng = np.random.default_rng(seed)
     sample = sample.astype(np.float32)
-    lists = max(1, min(MAX_LISTS, int(total**0.5), len(sample) // 8 or 1))
+    lists = max(1, min(int(total**0.5), len(sample) // 8 or 1))
     centroids = _kmeans(sample, lists, True, rng)
     rest = _parts(sample - centroids[np.argmax(sample @ centroids.T, axis=1)])
     books = np.stack([_kmeans(rest[:, m], min(CODEWORDS, len(sample)), False, rng) for m in range(rest.shape[1])])
@@ -217,6 +218,14 @@ def _search(shared: Broadcast[Model], probes: int, best: int, rerank: int):
     return run
 
 
+def _chunked(entries: DataFrame, visits: DataFrame, query_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both with a ``chunk``: the visits of each ``block`` in chunks of about ``query_rows``, and the
+    entries of a block as often as it has chunks. A block that nothing visits is left out."""
+    chunks = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / query_rows).cast("int").alias("chunks"))
+    every = entries.join(chunks, "block").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    return every, visits.join(chunks, "block").withColumn("chunk", F.pmod(F.xxhash64("query"), F.col("chunks")).cast("int")).drop("chunks")
+
+
 def nearest(vectors: DataFrame, queries: Column | None = None, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding", rerank: int = RERANK, seed: int = SEED) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its ``k`` nearest of all other rows.
 
@@ -261,7 +270,7 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = 5, vec_i
         return pa.RecordBatch.from_arrays([batch.column("entry"), *columns], ["entry", "list", "codes", "error", "v"])
 
     indexed = saved(entries.select("entry", "v").mapInArrow(per_batch(index), "entry long, list int, codes binary, error double, v binary"))
-    # Lists in blocks: at most MAX_LISTS sizes.
+    # Lists in blocks: one size for each list, of which there are at most an eighth of the sample.
     sizes = {r.list: r["count"] for r in indexed.groupBy("list").count().collect()}
     # Any lists that a query visits hold more than k entries, if there are as many.
     fewest = np.cumsum(sorted(sizes.get(i, 0) for i in range(len(model.centroids))))
@@ -281,21 +290,19 @@ def nearest(vectors: DataFrame, queries: Column | None = None, k: int = 5, vec_i
     where = spark.createDataFrame([(at, *b) for at, b in blocks.items()], "list int, first int, parts int")
     dealt = indexed.join(F.broadcast(where), "list").withColumn("block", F.col("first") + F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int"))
 
-    distinct = askers.select("query").distinct().join(entries.select(F.col("entry").alias("query"), "v"), "query")
-    chunks = max(1, -(-distinct.count() // QUERY_ROWS))
+    distinct = saved(askers.select("query").distinct().join(entries.select(F.col("entry").alias("query"), "v"), "query"))
 
     def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        q = _unit(_matrix(batch.column("v"))).astype(np.float32)
-        probed = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")[:, :probes]
+        vectors = _matrix(batch.column("v"))
+        probed = np.argsort(-(_unit(vectors).astype(np.float32) @ shared.value.centroids.T), axis=1, kind="stable")[:, :probes]
         # Lists that no entry is in have no block.
         seen = [sorted({b + i for at in row for b, n in [blocks.get(at, (0, 0))] for i in range(n)}) for row in probed.tolist()]
-        return pa.RecordBatch.from_arrays([batch.column("query"), pa.array(_packed(_matrix(batch.column("v"))), pa.binary()), pa.array(seen, pa.list_(pa.int32()))], ["query", "v", "blocks"])
+        return pa.RecordBatch.from_arrays([batch.column("query"), pa.array(_packed(vectors), pa.binary()), pa.array(seen, pa.list_(pa.int32()))], ["query", "v", "blocks"])
 
-    visits = distinct.mapInArrow(per_batch(visit), "query long, v binary, blocks array<int>")
-    visits = visits.select("query", "v", F.explode("blocks").alias("block"), F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int").alias("chunk"))
-    every = dealt.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))) if chunks > 1 else dealt.withColumn("chunk", F.lit(0))
+    visits = saved(distinct.mapInArrow(per_batch(visit), "query long, v binary, blocks array<int>"))
+    every, asking = _chunked(dealt, visits.select("query", "v", F.explode("blocks").alias("block")), QUERY_ROWS)
     # Each entry has a member, so k + 1 entries hold a query's own and its k nearest.
-    found = every.groupBy("block", "chunk").cogroup(visits.groupBy("block", "chunk")).applyInPandas(_search(shared, probes, k + 1, rerank), "query long, entry long, score double")
+    found = every.groupBy("block", "chunk").cogroup(asking.groupBy("block", "chunk")).applyInPandas(_search(shared, probes, k + 1, rerank), "query long, entry long, score double")
     best = found.withColumn("turn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))).where(F.col("turn") <= k + 1)
     scored = best.select("query", "entry", "score").join(entries.select("entry", "members"), "entry")
     ranked = scored.select("query", "score", F.explode("members").alias("vec_id"))

@@ -15,7 +15,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from girder.llm import bpe, chat, ivfpq, kdtree, licenses, wordpiece
+from girder.llm import bpe, chat, common, ivfpq, kdtree, licenses, wordpiece
 from girder.llm.known_licenses import EQUIVALENT, FULL_TEXTS, IN_SENTENCES, KNOWN
 from girder.llm.queries import QUERIES, SQL
 
@@ -241,10 +241,74 @@ def test_median_is_the_median(spark):
     """Against a sort of all places: half of the bytes lie on either side, to within one document."""
     rng = random.Random(4)
     rows = [(1, rng.choice([1, 5, 2000]), rng.choice([7 << 31, rng.getrandbits(62)]) | rng.getrandbits(31)) for _ in range(3000)] + [(2, 1, 5)] * 3
-    df = spark.createDataFrame(rows, "node int, size long, d0 long")
-    cut = kdtree._medians(df, {1: "d0", 2: "d0"}, {1: 0.5, 2: 0.25})
-    below, whole = sum(s for n, s, p in rows if n == 1 and p <= cut[1]), sum(s for n, s, _ in rows if n == 1)
-    assert abs(below - whole / 2) <= 1000 + kdtree.TOLERANCE * whole
+    df = spark.createDataFrame(rows, "node long, size long, p long")
+    nodes = df.groupBy("node").agg(F.min("p").alias("low"), F.max("p").alias("high"), F.sum("size").alias("bytes")).withColumn("share", F.when(F.col("node") == 1, 0.5).otherwise(0.25))
+    for most in (2, 10**6):
+        cut = {r.node: r.cut for r in kdtree._medians(df, nodes, most).collect()}
+        below, whole = sum(s for n, s, p in rows if n == 1 and p <= cut[1]), sum(s for n, s, _ in rows if n == 1)
+        assert abs(below - whole / 2) <= 1000 + kdtree.TOLERANCE * whole
+
+
+def plain_tree(rows, leaves, dims):
+    """Shard of each row (size, places): sorts along the widest dimension and cuts at the bytes."""
+    scale = [max(1, max(r[1][d] >> 31 for r in rows) - min(r[1][d] >> 31 for r in rows)) for d in range(dims)]
+    out, widest = {}, Counter()
+
+    def split(held, n, first):
+        if n == 1 or not held:
+            out.update(dict.fromkeys(held, first))
+            return
+        width = [(max(rows[i][1][d] >> 31 for i in held) - min(rows[i][1][d] >> 31 for i in held)) / scale[d] for d in range(dims)]
+        d = max(range(dims), key=lambda x: (width[x], -x))
+        widest[d] += 1
+        left = (n + 1) // 2
+        aim = left / n * sum(rows[i][0] for i in held)
+        by = defaultdict(list)
+        for i in held:
+            by[rows[i][1][d]].append(i)
+        before, low, high = 0, [], []
+        for place in sorted(by):
+            here = sum(rows[i][0] for i in by[place])
+            near = before + here <= aim or before < aim and abs(before + here - aim) <= abs(before - aim)
+            (low if near else high).extend(by[place])
+            before += here
+        split(low, left, first)
+        split(high, n - left, first + left)
+
+    split(list(range(len(rows))), leaves, 0)
+    return out, widest
+
+
+@pytest.mark.parametrize("sf,leaves", [("sf0.001", 8), ("sf0.01", 8), ("sf0.001", 5), ("sf0.001", 1)])
+def test_query_is_the_tree(spark, monkeypatch, sf, leaves):
+    """Shards by sorting, over whole tables; the widest dimension is the one that is cut."""
+    monkeypatch.setattr(kdtree, "TOLERANCE", 0.0)
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    hashes = {r.doc_id: r.tie for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(kdtree.SEED), "doc_id", "text"), 33).alias("tie")).collect()}
+    found = docs.collect()
+    number = {c: {v: i for i, v in enumerate(sorted({r[c] for r in found}, key=lambda v: v.encode()))} for c in ("source", "lang")}
+    rows = [(len(r.text.encode()) + 1, tuple(v << 31 | hashes[r.doc_id] for v in (len(r.text.encode()) + 1, r.n_chars, number["source"][r.source], number["lang"][r.lang]))) for r in found]
+    want, widest = plain_tree(rows, leaves, 4)
+    got = QUERIES["op7_kdtree"](spark, f"/root/testdata/{sf}") if leaves == 8 else kdtree.shards(docs, n_shards=leaves)
+    assert {r.doc_id: r.shard for r in got.collect()} == {found[i].doc_id: s for i, s in want.items()}
+    assert leaves < 8 or len(widest) > 1
+
+
+def test_names_with_a_common_beginning_are_told_apart(spark):
+    df = spark.createDataFrame([(i, "x" * 99, "en", f"host_{'ab'[i % 2]}", 99) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    held = defaultdict(set)
+    for r in kdtree.shards(df, n_shards=2).collect():
+        held[r.shard].add(r.doc_id % 2)
+    assert sorted(map(sorted, held.values())) == [[0], [1]]
+
+
+def test_many_leaves(spark, monkeypatch):
+    """Limits of nodes are joined: as many shards as documents, with and without broadcasts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    want = sorted(kdtree.shards(docs, n_shards=12).collect())
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    assert sorted(kdtree.shards(docs, n_shards=12).collect()) == want
+    check_shards(want, docs.collect(), 12)
 
 
 def test_shards_odd(spark, odd, empty):
@@ -329,6 +393,17 @@ def test_recall_and_blocks(spark, monkeypatch):
     assert recall(got, plain_nearest(rows, lambda i: i % 20 == 0)) >= 0.9
 
 
+def test_entries_are_copied_only_where_queries_crowd(spark):
+    """Ten times the table and its queries over ten times the blocks make ten times the rows; a crowded block alone is copied."""
+    for n in (1, 10):
+        entries = spark.range(1000 * n).select(F.col("id").alias("entry"), (F.col("id") % (10 * n)).cast("int").alias("block"))
+        visits = spark.range(100 * n).select(F.col("id").alias("query"), (F.col("id") % (10 * n)).cast("int").alias("block"))
+        crowd = spark.range(5000, 5100).select(F.col("id").alias("query"), F.lit(0).alias("block"))
+        every, asking = ivfpq._chunked(entries, visits.union(crowd), 20)
+        assert asking.count() == 100 * n + 100
+        assert every.count() == 100 * (10 * n - 1) + 100 * 6
+
+
 def test_recall_in_a_group_of_near_copies(spark, monkeypatch):
     """A third of the vectors, and 300 others, differ by less than codes can tell."""
     monkeypatch.setattr(ivfpq, "BLOCK_ROWS", 400)
