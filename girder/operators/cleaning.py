@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.restoring import plain
-from ..functions.text import dedup_key, fold_key, has_any, is_garbled
+from ..functions.text import better_of, dedup_key, fold_key, has_any, is_garbled
 
 # Mark of two readings that differ, words of stamps, labels and noise.
 CONFLICT = "⟦"
@@ -107,124 +108,146 @@ def first_by_key(lines: DataFrame, group: str, slot: str, text: str = "text", ch
     return lines.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
 
 
-# --- Bullets of a notes section: sequential by nature, one section at a time.
+# --- Notes sections: lines as rows, one section's bullets in one group.
 
-_BULLET = re.compile(r"^(\s*(?:[-*+•]|\d{1,2}[.)])\s+)(.*)$")
-_ALTERNATIVE = re.compile(r"⟦[^⟧]*⟧")
+#: A bullet's mark and its text; the title of a notes section.
+BULLET = r"^(\s*(?:[-*+•]|\d{1,2}[.)])\s+)(.*)$"
+NOTES_TITLE = r"(?iu)^\s*#*\s*\**\s*ghi ch[uúUÚ]"
+ALTERNATIVE = "⟦[^⟧]*⟧"
 MERGE_RATIO = 0.82
-LEAST_CHARS = 12
-
-
-def _key(text: str) -> str:
-    return " ".join(plain(text).lower().split())
-
-
-def _better(a: str, b: str) -> str:
-    marks = [sum(ord(c) > 127 for c in t) for t in (a, b)]
-    return b if marks[1] > marks[0] * 1.1 and len(b) > 5 or len(b) > 1.2 * len(a) else a
-
-
-def _repeat(words: list[str]) -> tuple[int, int] | None:
-    """Start and second start of a phrase that is said twice: at the head up to 6 words, else 3 or 4."""
-    n = len(words)
-    for size in range(min(6, n // 2), 2, -1):
-        again = next((j for j in range(size, n - size + 1) if words[j : j + size] == words[:size]), None)
-        if again is not None:
-            return 0, again
-    for size in (4, 3):
-        seen: dict[tuple[str, ...], int] = {}
-        pairs = []
-        for j in range(n - size + 1):
-            gram = tuple(words[j : j + size])
-            i = seen.setdefault(gram, j)
-            if j >= i + size:
-                pairs.append((i, j))
-        if pairs:
-            return min(pairs)
-    return None
-
-
-def without_repeats(text: str) -> str:
-    """A bullet without a phrase that it says again; of two halves the better one."""
-    text = text.strip()
-    words = _ALTERNATIVE.sub("", text).split()
-    found = _repeat([_key(w) for w in words]) if len(text) >= 2 * LEAST_CHARS and len(words) >= 5 else None
-    if found is None:
-        return text
-    i, j = found
-    rest = without_repeats(" ".join(words[j:]))
-    return " ".join([*words[:i], rest]).strip() if i else _better(" ".join(words[:j]), rest)
-
-
-def merged(bullets: list[str]) -> list[tuple[int, str]]:
-    """(place, text) of bullets, alike ones (ratio 0.82 or more) merged into the first of them."""
-    out, used = [], set()
-    for i, bullet in enumerate(bullets):
-        if i in used:
+#: Shortest bullet, in characters and in words, that is searched for a phrase said twice.
+LEAST_CHARS, LEAST_WORDS = 24, 5
+
+# A phrase that a bullet begins with and says again (six words rather than three), and one that it says
+# twice further in (four words, else three). Words are folded, with one space between them.
+_SAID_AGAIN = [re.compile(p) for p in (r"^(?P<phrase>\S+(?: \S+){2,5}) (?P<between>(?:\S+ )*?)(?P<again>(?P=phrase))(?!\S)", r"(?<!\S)(?P<phrase>\S+(?: \S+){3}) (?P<between>(?:\S+ )*?)(?P<again>(?P=phrase))(?!\S)", r"(?<!\S)(?P<phrase>\S+(?: \S+){2}) (?P<between>(?:\S+ )*?)(?P<again>(?P=phrase))(?!\S)")]
+
+
+def _fuller(one: str, other: str) -> str:
+    """D20 for two texts: the one with clearly more marks, or clearly longer; else the first."""
+    marks, more = (len(re.findall(r"[^\x00-\x7F]", t)) for t in (one, other))
+    return other if (more > 1.1 * marks and len(other) > 5) or len(other) > 1.2 * len(one) else one
+
+
+def said_once(text: str) -> str:
+    """A bullet without a phrase that it says again.
+
+    Said again from the start, the text has two halves, of which the fuller stays; further in, what
+    stands between goes. That is done until nothing is said twice.
+    """
+    left, rest = [], text.strip()
+    halves: list[str] = []
+    while True:
+        words = re.sub(ALTERNATIVE, "", rest).split()
+        folded = " ".join("".join(plain(w).lower().split()) or "_" for w in words)
+        found = next((m for p in _SAID_AGAIN if (m := p.search(folded))), None) if len(rest) >= LEAST_CHARS and len(words) >= LEAST_WORDS else None
+        if not found:
+            break
+        first, second = (folded.count(" ", 0, found.start(g)) for g in ("phrase", "again"))
+        if first:
+            left.append(" ".join(words[:first]))
+            halves.append("")
+        else:
+            halves.append(" ".join(words[:second]))
+        rest = " ".join(words[second:])
+    # From the inside out: a half competes with all that follows it.
+    for half in reversed(halves):
+        rest = _fuller(half, rest) if half else f"{left.pop()} {rest}".strip()
+    return rest
+
+
+def without_repeats(text: Column) -> Column:
+    """G6 as a column; null stays null."""
+
+    @F.pandas_udf(StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else said_once(t))
+
+    return run(text)
+
+
+def _common_at_most(one: dict[str, int], length: int, other: str) -> int:
+    """Length of the longest common subsequence, by bits; no matching of runs has more characters."""
+    row = full = (1 << length) - 1
+    for c in other:
+        met = row & one.get(c, 0)
+        row = (row + met | row - met) & full
+    return length - row.bit_count()
+
+
+def owners(keys: list[str], ratio: float = MERGE_RATIO) -> list[int]:
+    """For each text the place of the one that it is merged into: the first that is alike and isn't
+    merged itself. Alike means a ``difflib`` ratio of ``ratio`` or more.
+
+    Only pairs that may reach the ratio are compared: by their lengths, by the letters that they have
+    in common, and by their longest common subsequence, each of which bounds it.
+    """
+    n = len(keys)
+    out = list(range(n))
+    sizes = np.array([len(k) for k in keys])
+    letters = {c: i for i, c in enumerate(sorted(set("".join(keys))))}
+    counts = np.zeros((n, len(letters)), np.int32)
+    for i, key in enumerate(keys):
+        np.add.at(counts[i], [letters[c] for c in key], 1)
+    free = sizes > 0
+    for i in range(n):
+        if not free[i]:
             continue
-        best, key = bullet, _key(bullet)
-        for j in range(i + 1, len(bullets)):
-            other = _key(bullets[j])
-            if j not in used and key and other and difflib.SequenceMatcher(None, key, other).ratio() >= MERGE_RATIO:
-                best = _better(best, bullets[j])
-                used.add(j)
-        out.append((i, best))
+        later = np.flatnonzero(free[i + 1 :]) + i + 1
+        need = ratio * (sizes[i] + sizes[later]) / 2 - 1e-9
+        later, need = (x[np.minimum(sizes[i], sizes[later]) >= need] for x in (later, need))
+        may = np.minimum(counts[i], counts[later]).sum(1) >= need
+        places: dict[str, int] = {}
+        for at, c in enumerate(keys[i]):
+            places[c] = places.get(c, 0) | 1 << at
+        for j, least in zip(later[may].tolist(), need[may].tolist(), strict=True):
+            if _common_at_most(places, len(keys[i]), keys[j]) >= least and difflib.SequenceMatcher(None, keys[i], keys[j]).ratio() >= ratio:
+                out[j] = i
+                free[j] = False
     return out
 
 
-def clean_notes(lines: list[str]) -> list[str]:
-    """A notes section with clean, distinct bullets, each in the place of the first of its kind."""
-    bullets, kept = [], [(i, line) for i, line in enumerate(lines) if not _BULLET.match(line)]
-    for i, line in enumerate(lines):
-        if m := _BULLET.match(line):
-            text = without_repeats(m[2])
-            if text and not _garbled(text):
-                bullets.append((i, m[1], text))
-    seen = set()
-    for place, text in merged([b[2] for b in bullets]):
-        key = _key(text)[:60]
-        if key not in seen:
-            seen.add(key)
-            kept.append((bullets[place][0], bullets[place][1] + text))
-    return [line for _, line in sorted(kept)]
-
-
-def _garbled(text: str) -> bool:
-    letters = [c for c in text if c.isalpha()]
-    if len(text) < 8 or not letters:
-        return False
-    vowels = sum(c in "aeiouy" for c in plain(text).lower()) / len(letters)
-    solid = " " not in text and text.replace("-", "").replace("_", "").isupper()
-    return len(letters) >= 12 and vowels < (0.2 if solid else 0.08) or solid and text.isascii() and len(text) >= 16
-
-
-_NOTES = re.compile(r"^#*\s*\**\s*ghi ch[uú]", re.I)
-
-
-def postprocess(markdown: str) -> str:
-    """Markdown with its notes sections cleaned; all else stays as it is."""
-    out: list[str] = []
-    notes: list[str] = []
-    inside = False
-    for line in markdown.split("\n"):
-        if inside and line.startswith("#"):
-            out += clean_notes(notes)
-            notes, inside = [], False
-        if not inside and _NOTES.match(line.strip()):
-            out.append(line)
-            inside = True
-        else:
-            (notes if inside else out).append(line)
-    return "\n".join(out + clean_notes(notes))
-
-
-def postprocessed(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
-    """``docs`` with cleaned Markdown, and lines and characters before and after."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(cleaned=frame[markdown].map(lambda m: postprocess(m or "")))
-
-    made = docs.mapInPandas(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "cleaned string"]))
+def notes_lines(docs: DataFrame, markdown: str = "markdown", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, slot, line, notes): lines of Markdown; ``notes`` is the slot of the title of the notes
+    section that a line is in, or null. Between two headings the first title of notes begins one."""
+    lines = docs.select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(markdown), F.lit("")), "\n")).alias("slot", "line"))
+    heading, title = F.col("line").startswith("#"), F.col("line").rlike(NOTES_TITLE)
+    upto = Window.partitionBy("doc_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    headed = lines.withColumn("heading", F.coalesce(F.max(F.when(heading, F.col("slot"))).over(upto), F.lit(-1)))
+    start = F.min(F.when(title, F.col("slot"))).over(Window.partitionBy("doc_id", "heading"))
+    return headed.withColumn("start", start).select("doc_id", "slot", "line", F.when(F.col("slot") > F.col("start"), F.col("start")).alias("notes"))
+
+
+def clean_notes(lines: DataFrame) -> DataFrame:
+    """``lines`` (doc_id, slot, line, notes) without garbled bullets, and with alike ones merged in
+    the place of the first of them; bullets outside of notes and all other lines stay."""
+    bullet = F.col("notes").isNotNull() & F.col("line").rlike(BULLET)
+    text = without_repeats(F.regexp_extract("line", BULLET, 2))
+    bullets = lines.where(bullet).select("doc_id", "notes", "slot", F.regexp_extract("line", BULLET, 1).alias("mark"), text.alias("text"))
+    bullets = bullets.where((F.col("text") != "") & ~is_garbled(F.col("text"))).withColumn("key", dedup_key(F.col("text")))
+    kind = bullets.schema["doc_id"].dataType.simpleString()
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("slot").reset_index(drop=True)
+        return frame.assign(owner=frame["slot"].to_numpy()[owners(frame["key"].tolist())])
+
+    owned = bullets.groupBy("doc_id", "notes").applyInPandas(merge, f"doc_id {kind}, notes int, slot int, mark string, text string, key string, owner int")
+    group = F.sort_array(F.collect_list(F.struct("slot", "mark", "text")))
+    best = owned.groupBy("doc_id", "notes", F.col("owner").alias("slot")).agg(group.alias("all"))
+    chosen = F.aggregate(F.col("all"), F.col("all")[0]["text"], lambda acc, x: better_of(acc, x["text"]))
+    made = best.select("doc_id", "notes", "slot", F.col("all")[0]["mark"].alias("mark"), chosen.alias("text"))
+    first = first_by_key(made.withColumn("section", F.struct("doc_id", "notes")), "section", "slot")
+    return lines.where(~bullet).select("doc_id", "slot", "line").unionByName(first.select("doc_id", "slot", F.concat("mark", "text").alias("line")))
+
+
+def postprocessed(docs: DataFrame, markdown: str = "markdown", doc_id: str = "doc_id") -> DataFrame:
+    """``docs`` with cleaned Markdown, and lines and characters before and after.
+
+    ``doc_id`` names one row. A null text counts as an empty one.
+    """
+    lines = clean_notes(notes_lines(docs, markdown, doc_id))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "line"))), lambda x: x["line"]), "\n")
+    cleaned = lines.groupBy(F.col("doc_id").alias("__id")).agg(joined.alias("cleaned"))
     n = lambda c: F.size(F.split(c, "\n"))
-    return made.withColumns({"lines_before": n(F.col(markdown)), "lines_after": n(F.col("cleaned")), "chars_before": F.length(markdown), "chars_after": F.length("cleaned")})
+    made = docs.join(cleaned, F.col(doc_id).eqNullSafe(F.col("__id")), "left").drop("__id").withColumn("cleaned", F.coalesce("cleaned", F.lit("")))
+    return made.withColumns({"lines_before": n(F.coalesce(F.col(markdown), F.lit(""))), "lines_after": n(F.col("cleaned")), "chars_before": F.length(F.coalesce(F.col(markdown), F.lit(""))), "chars_after": F.length("cleaned")})

@@ -1,10 +1,13 @@
 """Restoring accents, merging readings, cleaning notes: golden pairs and laws."""
 
+import difflib
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from girder.functions import numbers as N
 from girder.functions import restoring as R
 from girder.functions import text as T
 from girder.operators import cleaning as C
@@ -45,15 +48,29 @@ def test_encodings(spark):
 
 @pytest.mark.parametrize(
     "a,b,want",
-    [("Km19+529.080", "Km1945290080", "Km19+529.080"), ("XOP CHEN KHE", "XỐP CHèn Khe", "XỐP CHÈN KHE"), ("MATCATNGANG", "MẶT CẮT NGANG", "MẶT CẮT NGANG"), ("DAY20MM", "DÀY 28MM", "DAY20MM"), ("THEP CHU", "THÉP TẾ CHỦ", "THÉP CHỦ"), ("abc", "xyz", "abc"), ("", "a", "")],
-)
+    [
+        ("Tong chieu dai tuyen", "Tổng chiều dài tuyến", "Tổng chiều dài tuyến"), ("Km19+529.080", "Km1945290080", "Km19+529.080"), ("Cau Km19+529", "Cầu Km1945290", "Cầu Km19+529"), ("XOP CHEN KHE", "XỐP CHèn Khe", "XỐP CHÈN KHE"),
+        ("B6 tri khoan", "Bố trí khoan", "Bố trí khoan"), ("dai: 27,48Km", "dài: 27,48km", "dài: 27,48Km"), ("MATCATNGANGTRUGIAIDOAN4LANXE", "MẶT CẮT NGANG TRỤ GIAI ĐOẠN 4 LÀN XE", "MẶT CẮT NGANG TRỤ GIAI ĐOẠN 4 LÀN XE"), ("DAY20MM", "DÀY 20MM", "DÀY 20MM"),
+        ("DAY20MM", "DÀY 28MM", "DAY20MM"), ("BO TRI SO LE", "BỐ TRÍ SOLE", "BỐ TRÍ SO LE"), ("THEP CHU", "THÉP TẾ CHỦ", "THÉP CHỦ"), ("D14a200", "Đường ống", "D14a200"), ("abc", "", "abc"), ("abc", "xyz", "abc"), ("", "a", ""), ("MATCATNGANG", "MẶT CẮT NGANG", "MẶT CẮT NGANG"),
+    ],
+)
 def test_merge_readings(a, b, want):
     assert R.merge_readings(a, b) == want
 
 
-def test_judge():
+def test_judge(spark):
     assert R.judge("BE TONG", "BÊ TÔNG") == (True, "BÊ TÔNG", 0.0)
-    assert R.judge("D16 a200", "D18 a200") == (True, "D16 a200 ⟦OCR khác: D18 a200⟧", 0.5)
+    assert R.judge("D16 a200", "D18 a200") == (True, "D18 a200 ⟦OCR khác: D16 a200⟧", 0.5)
+    assert R.judge("1O0 cm", "100 cm") == (True, "100 cm", 0.0) and R.judge("MAT BANG m6 M1", "MẶT BẰNG mố M1") == (True, "MẶT BẰNG mố M1", 0.0)
+    assert R.judge("BE TONG", "BÊ TÔNG混") == (True, "BÊ TÔNG", 0.0) and R.judge("abc", "абв") == (False, "abc", 0.0)
+    assert R.judge("THEO VAN BAN 12", "THEO VĂN BẢN 13") == (True, "THEO VĂN BẢN 13", 0.0)
+    assert R.judge("kg/m", "giá trị trọng lượng (kg/m)") == (False, "kg/m", 0.0)
+    texts = ["s6", "CHOT 032", "I-1", "(217)", "3OMPA", "O2KHE", "Km²", "", "1.KICH 25"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(N.digit_fingerprint(F.col("t")).alias("d")).collect()
+    assert [r.d for r in got] == [R.fingerprint(t) for t in texts] == ["", "32", "", "27", "30", "02", "2", "", "25"]
+
+
+def test_judge_rejects():
     assert not R.judge("BE TONG", "混凝土")[0] and not R.judge("abc", "")[0] and not R.judge("abc", "abc and much more than that")[0]
 
 
@@ -77,14 +94,52 @@ def test_text_predicates(spark):
     assert row.s == "Công ty ABC" and row.k == ["bản", "vẽ", "kc-05/a", "d2"] and row.c == "Trang 3 • Ghi chú" and row.p == [3, 12] and row.m == "02:05" and row.x == "a & b c"
 
 
-def test_notes():
-    assert C.without_repeats("Bê tông mác 300 đổ tại chỗ Bê tông mác 300 đổ tại chỗ") == "Bê tông mác 300 đổ tại chỗ"
-    assert C.without_repeats("không có gì lặp lại ở đây cả") == "không có gì lặp lại ở đây cả"
+def test_phrases_said_twice():
+    assert C.said_once("Bê tông mác 300 đổ tại chỗ Bê tông mác 300 đổ tại chỗ") == "Bê tông mác 300 đổ tại chỗ"
+    assert C.said_once("be tong mac 300 do tai cho Bê tông mác 300 đổ tại chỗ") == "Bê tông mác 300 đổ tại chỗ"
+    assert C.said_once("không có gì lặp lại ở đây cả") == "không có gì lặp lại ở đây cả"
+    assert C.said_once("trước khi thi công phải kiểm tra lại rồi thi công phải kiểm tra lại cao độ") == "trước khi thi công phải kiểm tra lại cao độ"
+    assert C.said_once("a b c a b c") == "a b c a b c" and C.said_once("") == ""
+    for n in (2, 3, 5):
+        assert C.said_once(" ".join(["một hai ba bốn năm sáu bảy"] * n)) == "một hai ba bốn năm sáu bảy"
+
+
+def plain_owners(keys):
+    out = list(range(len(keys)))
+    for i, key in enumerate(keys):
+        if out[i] == i and key:
+            for j in range(i + 1, len(keys)):
+                if out[j] == j and keys[j] and difflib.SequenceMatcher(None, key, keys[j]).ratio() >= C.MERGE_RATIO:
+                    out[j] = i
+    return out
+
+
+def test_owners_against_all_pairs():
+    rng = random.Random(4)
+    words = ["be", "tong", "mac", "cot", "thep", "duong", "kinh", "do", "tai", "cho", "300", "b25"]
+    for _ in range(30):
+        keys = [" ".join(rng.choice(words) for _ in range(rng.randrange(12))) for _ in range(25)]
+        keys += ["".join(c for c in k if rng.random() > 0.1) for k in keys]
+        assert C.owners(keys) == plain_owners(keys)
+    many = [" ".join(rng.choice(words) + str(rng.randrange(30)) for _ in range(10)) for _ in range(2000)]
+    began = time.time()
+    assert len(C.owners(many)) == 2000 and time.time() - began < 10
+
+
+def _cleaned(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
+    return [r.cleaned for r in C.postprocessed(df).orderBy("doc_id").collect()]
+
+
+def test_notes(spark):
     lines = ["- Bê tông dùng mác 300 đá 1x2", "giữa", "- Be tong dung mac 300 da 1x2", "- BTCTPCCCXYZKLMNPQRST", "- Cốt thép CB400"]
-    assert C.clean_notes(lines) == ["- Bê tông dùng mác 300 đá 1x2", "giữa", "- Cốt thép CB400"]
-    md = "# A\n- x y z x y z x y z x y z\n## Ghi chú\n" + "\n".join(lines) + "\n## B\n- q"
-    once = C.postprocess(md)
-    assert C.postprocess(once) == once and once.startswith("# A\n- x y z x y z x y z x y z\n") and once.endswith("## B\n- q") and len(once) < len(md)
+    clean = ["- Bê tông dùng mác 300 đá 1x2", "giữa", "- Cốt thép CB400"]
+    md = "# A\n- x y z x y z x y z x y z\n## Ghi chú\n" + "\n".join(lines) + "\n## B\n- q\n- q"
+    later = "**GHI CHÚ:**\n" + "\n".join(lines[2::-2]) + "\nGhi chú thêm\n1. abc\n2. abc\n# Ghi chú\n1. abc"
+    once = _cleaned(spark, [md, later, None, "", "không có gì"])
+    assert once[0] == "# A\n- x y z x y z x y z x y z\n## Ghi chú\n" + "\n".join(clean) + "\n## B\n- q\n- q"
+    assert once[1] == "**GHI CHÚ:**\n- Bê tông dùng mác 300 đá 1x2\nGhi chú thêm\n1. abc\n# Ghi chú\n1. abc"
+    assert once[2:] == ["", "", "không có gì"] and _cleaned(spark, once) == once
 
 
 def test_review(spark):
