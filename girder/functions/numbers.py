@@ -6,13 +6,10 @@ a text (``extract_number``) and for lengths (``length_number``); they read ``1.5
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from .text import fold
 
@@ -108,98 +105,60 @@ def length_number(token: Column, style: Column | str = "unknown") -> Column:
     return let(let(F.trim(token), plain), lambda p: F.when(p.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)\s*$"), p.try_cast("double")))
 
 
-def _py_number(token: str, style: str) -> float | None:
-    """``length_number`` for one token, where an expression is read token by token."""
-    t = token
-    if "." in t and "," in t:
-        last = max(t.rfind("."), t.rfind(","))
-        t = t[:last].replace(".", "").replace(",", "") + "." + t[last + 1 :] if t.count(t[last]) == 1 else t.replace("." if t[last] == "," else ",", "").replace(t[last], ".")
-    elif style != "us" and re.fullmatch(r"\d{1,3}(,\d{3})+,\d{1,2}|\d{1,3}(\.\d{3})+\.\d{1,2}", t):
-        *head, tail = re.split("[.,]", t)
-        t = "".join(head) + "." + tail
-    elif "," in t:
-        t = t.replace(",", ".") if t.count(",") == 1 and len(t.rpartition(",")[2]) <= 2 and style != "us" else t.replace(",", "")
-    elif style == "vn" and re.fullmatch(r"\d{1,3}\.\d{3}", t):
-        t = t.replace(".", "")
-    try:
-        return float(t)
-    except ValueError:
-        return None
-
-
-def evaluate(expression: str, style: str = "unknown") -> float | None:
-    """Value of sums, differences and products with parentheses, by two stacks; null if broken."""
-    values: list[float] = []
-    marks: list[str] = []
-    level = {"+": 1, "-": 1, "*": 2}
-
-    def apply() -> bool:
-        if len(values) < 2:
-            return False
-        b, a = values.pop(), values.pop()
-        values.append({"+": a + b, "-": a - b, "*": a * b}[marks.pop()])
-        return True
-
-    operand = True  # whether a number or an opening parenthesis has to come next
-    for token in re.findall(r"\d[\d.,]*|[-+*()]", expression):
-        if token == "(":
-            if not operand:
-                return None
-            marks.append(token)
-        elif token == ")":
-            if operand or "(" not in marks:
-                return None
-            while marks[-1] != "(":
-                if not apply():
-                    return None
-            marks.pop()
-        elif token in level:
-            if operand:
-                return None
-            while marks and marks[-1] != "(" and level[marks[-1]] >= level[token]:
-                if not apply():
-                    return None
-            marks.append(token)
-            operand = True
-        else:
-            number = _py_number(token, style) if operand else None
-            if number is None:
-                return None
-            values.append(number)
-            operand = False
-    while marks:  # an open parenthesis may stay open
-        if marks[-1] == "(":
-            marks.pop()
-        elif not apply():
-            return None
-    return values[0] if len(values) == 1 and not operand else None
-
-
-@F.pandas_udf(DoubleType())
-def _evaluated(expression: pd.Series, style: pd.Series) -> pd.Series:
-    return pd.Series([None if e is None else evaluate(e, s or "unknown") for e, s in zip(expression, style, strict=True)], dtype="float64")
+def evaluate(expression: Column, style: Column | str = "unknown") -> Column:
+    """Value of sums, differences and products with parentheses; null if broken.
 
+    Tokens are read once from left to right. For each open parenthesis the sum of finished terms and
+    the term in hand are held; what a parenthesis is worth is a factor of the term around it. One that
+    isn't closed ends with the text.
+    """
+    tokens = F.regexp_extract_all(expression, F.lit(r"\d[\d.,]*|[-+*()]"), 0)
+    level = lambda total, term: F.struct(total.alias("sum"), term.alias("term"))
+    begin = level(F.lit(0.0), F.lit(1.0))
+    start = F.struct(F.lit(True).alias("ok"), F.lit(True).alias("operand"), F.array(begin).alias("open"))
+
+    def step(at: Column, token: Column) -> Column:
+        top = F.element_at(at["open"], -1)
+        under = F.slice(at["open"], F.lit(1), F.size(at["open"]) - 1)
+        on = lambda ok, operand, open_: F.struct((at["ok"] & F.coalesce(ok, F.lit(False))).alias("ok"), F.lit(operand).alias("operand"), open_.alias("open"))
+        factor = lambda levels, here, value: F.concat(levels, F.array(level(here["sum"], here["term"] * value)))
+        ended = lambda sign: F.concat(under, F.array(level(top["sum"] + top["term"], F.lit(sign))))
+        outer = F.element_at(under, -1)
+        closed = factor(F.slice(under, F.lit(1), F.size(under) - 1), outer, top["sum"] + top["term"])
+        nested = F.size(at["open"]) > 1
+        return (
+            F.when(~at["ok"], at)
+            .when(token == "(", on(at["operand"], True, F.concat(at["open"], F.array(begin))))
+            .when((token == ")") & nested, on(~at["operand"], False, closed))
+            .when(token == ")", on(F.lit(False), False, at["open"]))
+            .when(token == "+", on(~at["operand"], True, ended(1.0)))
+            .when(token == "-", on(~at["operand"], True, ended(-1.0)))
+            .when(token == "*", on(~at["operand"], True, at["open"]))
+            .otherwise(let(length_number(token, style), lambda v: on(at["operand"] & v.isNotNull(), False, factor(under, top, v))))
+        )
 
-def parse_length(raw: Column, style: Column | str = "unknown") -> Column:
-    """Struct (value, kind) of a length cell; kind is number, formula, symbolic or empty.
+    def worth(at: Column) -> Column:
+        inside = F.aggregate(F.reverse(at["open"]), F.lit(1.0), lambda value, x: x["sum"] + x["term"] * value)
+        return F.when(at["ok"] & ~at["operand"], inside)
 
-    Only cells with an operator reach the Python expression reader.
-    """
+    return F.aggregate(tokens, start, step, worth)
+
+
+def parse_length(raw: Column, style: Column | str = "unknown") -> Column:
+    """Struct (value, kind) of a length cell; kind is number, formula, symbolic or empty."""
     style = F.lit(style) if isinstance(style, str) else style
     s = F.regexp_replace(F.lower(F.trim(raw)), r"(?U)(chieu dai|chiều dài|gom moc|gồm móc|l\s*=|cd\s*=|mm|cm|\bm\b)", "")
     s = F.regexp_replace(F.translate(s, "×x", "**"), "[–—−]", "-")
     empty = raw.isNull() | (F.trim(raw) == "")
-    # Only an expression goes to Python; what it is worth comes back beside the cleaned text.
-    computed = F.nullif(_evaluated(let(s, lambda x: F.when(x.rlike(r"[+*()]") & ~x.rlike("[a-zà-ỹ]"), x)), style), F.lit(float("nan")))
 
     def read(x: Column) -> Column:
-        letters, marks, number = x["s"].rlike("[a-zà-ỹ]"), x["s"].rlike(r"[+*()]"), length_number(x["s"], style)
-        value = F.when(letters, _null()).when(marks, x["v"]).otherwise(number)
-        kind = lambda v: F.when(letters, "symbolic").when(marks, F.when(v.isNull(), "symbolic").otherwise("formula")).otherwise(F.when(v.isNull(), "empty").otherwise("number"))
-        return let(value, lambda v: F.struct(v.alias("value"), kind(v).alias("kind")))
+        as_struct = lambda v, kind: F.struct(v.alias("value"), kind.alias("kind"))
+        formula = let(evaluate(x, style), lambda v: as_struct(v, F.when(v.isNull(), "symbolic").otherwise("formula")))
+        number = let(length_number(x, style), lambda v: as_struct(v, F.when(v.isNull(), "empty").otherwise("number")))
+        return F.when(x.rlike("[a-zà-ỹ]"), as_struct(_null(), F.lit("symbolic"))).when(x.rlike(r"[+*()]"), formula).otherwise(number)
 
     none = F.struct(_null().alias("value"), F.lit("empty").alias("kind"))
-    return F.when(empty, none).otherwise(let(F.struct(s.alias("s"), computed.alias("v")), read))
+    return F.when(empty, none).otherwise(let(s, read))
 
 
 def length_unit(header: Column) -> Column:
@@ -238,17 +197,50 @@ def bar_mass_join(spark, df, dia: str):
     return df.join(F.broadcast(table), dia, "left").withColumn("unit_mass", F.coalesce("table_mass", F.col(dia) * F.col(dia) / F.lit(162.0))).drop("table_mass")
 
 
-# Letters that readers of scans take for digits, and the digits they stand for.
-LOOKALIKES = [("O", "0"), ("o", "0"), ("I", "1"), ("l", "1"), ("|", "1"), ("Z", "2"), ("z", "2"), ("S", "5"), ("s", "5"), ("B", "8"), ("g", "9"), ("q", "9")]
+# What readers of scans take for digits, in texts without marks, and what it stands for;
+# in this order. Digits for letters with marks, diameters, Roman numbers and fractions.
+LOOKALIKES = [
+    (r"(?<=\d)[oO]|[oO](?=\d)", "0"),
+    (r"\b[sS]6\b", "so"),
+    (r"\b[nN]g6\b", "ngo"),
+    (r"\b[pP]h6\b", "pho"),
+    (r"\b[bB]0\b", "bo"),
+    (r"\b[mM]6\b", "mo"),
+    (r"\b[dD][06]\b", "do"),
+    (r"\b[cC]6\b", "co"),
+    (r"\b[hH]8\b", "ho"),
+    (r"\b[tT]6\b", "to"),
+    (r"\b[lL]6\b", "lo"),
+    (r"(?i)\b16\s*(khoan|lo)\b", "lo $1"),
+    (r"(?i)\b(so|co so)\s+16\b", "$1 lo"),
+    (r"(?i)\b1op\b", "lop"),
+    (r"(?i)\bty\s*11\b", "tyle"),
+    (r"(?i)\b2\s*lupo?i?\s*thep\b", "2 luoi thep"),
+    (r"(?i)dan\s*0\s*100", "dan o 100"),
+    (r"(?<=[A-Za-z])[068](?![0-9])", ""),
+    (r"(?<![0-9])[068](?=[A-Za-z])", ""),
+    (r"(?<=[A-Za-z])1(?=[A-Za-z])", ""),
+    (r"\b1(?=[a-zA-Z]{2,})", ""),
+    (r"(?i)(?<=CHOT\s)0(?=(?:1[02468]|2[0258]|32)\b)", ""),
+    (r"(?i)(?<=CHOT)0(?=(?:1[02468]|2[0258]|32)\b)", ""),
+    (r"(?i)(?<=THEP\s)0(?=(?:1[02468]|2[0258]|32)\b)", ""),
+    (r"(?i)(?<=THEP)0(?=(?:1[02468]|2[0258]|32)\b)", ""),
+    (r"\b0(?=(?:1[02468]|2[0258]|32)\b)", ""),
+    (r"I\s*-\s*1\b", "I-I"),
+    (r"\((\d)1(\d)\)", "($1/$2)"),
+    (r"^\s*1\.\s*(?=[A-Za-z])", ""),
+    (r"\b1=(?=\d)", "l="),
+]
+# Powers that are written small.
+_SMALL = ("²³¹⁰⁴⁵⁶⁷⁸⁹", "2310456789")
 
 
 def digit_fingerprint(text: Column) -> Column:
-    """Digits of a text, with look-alike letters beside digits read as such."""
-    s = F.regexp_replace(F.regexp_replace(fold(text), r"\\[a-zA-Z]+|[${}^_]", ""), r"(?i)(?<![a-z])(so|no)\s*(?=\d)", "")
-    for letter, digit in LOOKALIKES:
-        q = re.escape(letter)
-        s = F.regexp_replace(s, rf"(?<=\d){q}|{q}(?=\d)", digit)
-    return F.regexp_replace(s, r"\D", "")
+    """Digits of a text, without marks of formulas and with what looks like a digit read as what it stands for."""
+    s = fold(F.translate(F.regexp_replace(F.regexp_replace(text, r"\\[a-zA-Z]+", " "), r"[{}_$]", " "), *_SMALL))
+    for pattern, meant in LOOKALIKES:
+        s = F.regexp_replace(s, pattern, meant)
+    return F.regexp_replace(s, r"[^0-9]", "")
 
 
 def canonical_value(value: Column) -> Column:

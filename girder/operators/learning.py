@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, TimestampNTZType
 
 from ..functions.text import fold_lower, fold_upper, has_marks, is_loose_syllable, words
 
@@ -152,23 +153,25 @@ def safe_corrections(table: DataFrame, least: int = 1) -> DataFrame:
     return table.where(F.col("safe") & (F.col("cnt") >= least)).select("raw", "corrected", "cnt")
 
 
+def _replaced(a: list[str], b: list[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """What stands for each other between the parts that two lists share."""
+    i = j = 0
+    for k, n, size in difflib.SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
+        if k > i and n > j:
+            yield a[i:k], b[j:n]
+        i, j = k + size, n + size
+
+
 def diff_pairs(before: str, after: str, most: int = 6) -> list[tuple[str, str]]:
-    """H8: pairs of words that an edit changed: replaced lines, and in them replaced runs of words."""
-    out = []
-    a, b = before.splitlines(), after.splitlines()
-    for kind, i, j, k, n in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind != "replace" or j - i != n - k:
-            continue
-        for old, new in zip(a[i:j], b[k:n], strict=True):
-            x, y = old.split(), new.split()
-            changes = [o for o in difflib.SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"]
-            if sum(o[2] - o[1] for o in changes) * 2 > max(len(x), 2):  # rewritten, not corrected
-                continue
-            for what, p, q, r, s in changes:
-                left, right = (" ".join(w).strip(" .,;:!?()[]\"'|*") for w in (x[p:q], y[r:s]))
-                if what == "replace" and left and right and left != right and max(q - p, s - r) <= most and re.search(r"\w", left) and re.search(r"\w", right):
-                    out.append((left, right))
-    return out
+    """H8: pairs of words that an edit changed, of ``most`` words at most on either side.
+
+    Between lines that both have, the words of what was there and of what is there now are compared,
+    on however many lines they stand; lines that were only put in or taken out say nothing.
+    """
+    bare = lambda words: " ".join(words).strip(" .,;:!?()[]\"'|*")
+    runs = (run for old, new in _replaced(before.splitlines(), after.splitlines()) for run in _replaced(" ".join(old).split(), " ".join(new).split()))
+    pairs = ((bare(old), bare(new)) for old, new in runs if max(len(old), len(new)) <= most)
+    return [(x, y) for x, y in pairs if x != y and re.search(r"\w", x) and re.search(r"\w", y)]
 
 
 def edited_pairs(edits: DataFrame) -> DataFrame:
@@ -199,10 +202,29 @@ def header_aliases(tables: DataFrame) -> DataFrame:
     return h.withColumn("column", column).where("column is not null")
 
 
+#: Epochs whose sums run in one task.
+EPOCHS_AT_ONCE = 100_000
+
+
 def epochs(log: DataFrame) -> DataFrame:
-    """(epoch, document, pages, new_terms, cumulative_terms, cumulative_pages) by running sums."""
-    run = Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumns({"cumulative_terms": F.sum("new_terms").over(run), "cumulative_pages": F.sum("pages").over(run)})
+    """(epoch, document, pages, new_terms, cumulative_terms, cumulative_pages) by running sums.
+
+    Epochs are numbers, dates or times. A log of over ``EPOCHS_AT_ONCE`` is cut at its percentiles: sums
+    run within a part, and go on from the sums of the parts before. Equal epochs are in one part, and
+    add up in the order of their other columns.
+    """
+    parts = -(-log.count() // EPOCHS_AT_ONCE)
+    at = F.col("epoch").cast("timestamp") if isinstance(log.schema["epoch"].dataType, TimestampNTZType) else F.col("epoch")
+    cuts = sorted(set(log.agg(F.percentile_approx(at, [i / parts for i in range(1, parts)])).first()[0])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: cut < at)) if cuts else F.lit(0)
+    rest = [F.col(c) for c in log.columns if c != "epoch" and not isinstance(log.schema[c].dataType, MapType)]
+    run = Window.partitionBy("__part").orderBy("epoch", *rest).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = log.withColumn("__part", part)
+    upto = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("__part").agg(F.sum("new_terms").alias("t"), F.sum("pages").alias("p"))  # one row for each part
+    before = sums.select("__part", F.coalesce(F.sum("t").over(upto), F.lit(0)).alias("t"), F.coalesce(F.sum("p").over(upto), F.lit(0)).alias("p"))
+    within = dealt.withColumns({"cumulative_terms": F.sum("new_terms").over(run), "cumulative_pages": F.sum("pages").over(run)})
+    return within.join(F.broadcast(before), "__part").select(*log.columns, (F.col("cumulative_terms") + F.col("t")).alias("cumulative_terms"), (F.col("cumulative_pages") + F.col("p")).alias("cumulative_pages"))
 
 
 def summary(log: DataFrame, last: int = 5) -> DataFrame:

@@ -56,14 +56,19 @@ def test_corrections(spark):
 def test_diff(spark):
     before, after = "dòng một\ntổng chiu lyrc là 25 kg\ncuối", "dòng một\ntổng chịu lực là 26 kg\ncuối"
     assert L.diff_pairs(before, after) == [("chiu lyrc", "chịu lực"), ("25", "26")]
-    assert L.diff_pairs("a\nb", "a\nthêm\nb") == [] and L.diff_pairs("một câu như thế này", "hoàn toàn khác đi rồi nhé") == []
+    assert L.diff_pairs("a\nb", "a\nthêm\nb") == [] and L.diff_pairs("Cau nay bi doc sai gan nhu hoan toan boi phan mem.\n", "Day la mot cau hoan toan khac do con nguoi viet lai tu dau.\n") == []
+    assert L.diff_pairs("Dong mot giong nhau.\nDong hai giong nhau.\n", "Dong mot giong nhau.\nDong hai giong nhau.\nDong moi them vao.\n") == []
+    assert L.diff_pairs("be tonq cot thep\nx y", "bê tông cốt thép x y") == [("be tonq cot thep", "bê tông cốt thép")]
+    assert L.diff_pairs("Ket cau be tong cot thep chiu lyrc chinh.\nMac be tong 300, chieu dai 25 m.\n", "Ket cau be tong cot thep chịu lực chinh.\nMac be tong 300, chieu dai 26 m.\n") == [("chiu lyrc", "chịu lực"), ("25", "26")]
     out = L.edited_pairs(spark.createDataFrame([(before, after, "d", 1)], "before string, after string, source string, ts int"))
     assert {(r.raw, r.safe) for r in L.corrections(out).collect()} == {("chiu lyrc", True), ("25", False)}
 
 
-def test_history(spark):
+def test_history(spark, monkeypatch):
     log = spark.createDataFrame([(i, f"d{i}", 10, i, {"a": i, "b": 1}) for i in range(1, 8)], "epoch int, document string, pages int, new_terms int, lessons map<string,int>")
     assert [r.cumulative_terms for r in L.epochs(log).orderBy("epoch").collect()] == [1, 3, 6, 10, 15, 21, 28]
+    monkeypatch.setattr(L, "EPOCHS_AT_ONCE", 2)
+    assert [r.cumulative_terms for r in L.epochs(log).orderBy("epoch").collect()] == [1, 3, 6, 10, 15, 21, 28]
     row = L.summary(log).first()
     assert (row.documents, row.pages, row.recent_lessons) == (7, 70, 3 + 4 + 5 + 6 + 7 + 5)
     assert L.largest_copy(spark.createDataFrame([("a", 3, True), ("b", 5, False), ("c", 5, True)], "payload string, total_documents_read int, is_local boolean")).first().payload == "c"

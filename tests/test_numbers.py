@@ -1,5 +1,8 @@
 """Numbers, units and lengths against hand-made values."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,8 +45,34 @@ def test_length(spark, text, want):
 
 
 @pytest.mark.parametrize("expression,want", [("2*(3+4*(5-1))", 38.0), ("10-2-3", 5.0), ("2*3+4*5", 26.0), ("(1+2", 3.0), ("1+)", None), ("1 2", None), ("*2", None), ("", None), (")(", None)])
-def test_expression(expression, want):
-    assert N.evaluate(expression) == want
+def test_expression(spark, expression, want):
+    assert value(spark, expression, N.evaluate) == want
+
+
+def test_expressions_against_python(spark):
+    """Random expressions, whole and broken, read as Python reads them."""
+    rng = random.Random(7)
+
+    def made(depth):
+        kind = rng.randrange(5) if depth else 0
+        if kind < 2:
+            return str(rng.randrange(1, 90))
+        return f"({made(depth - 1)})" if kind == 2 else f"{made(depth - 1)}{rng.choice('+-*')}{made(depth - 1)}"
+
+    texts = [made(5) for _ in range(300)]
+    texts += ["".join(c for c in t if rng.random() > 0.08) for t in texts if re.search("[-+*(]", t)]
+
+    def plain(text):
+        depth = lowest = 0
+        for c in text:
+            depth += (c == "(") - (c == ")")
+            lowest = min(lowest, depth)
+        if lowest < 0 or not text or re.search(r"(^|[-+*(])[-+*]|\(\)|[\d)]\(|\)\d", text) or not re.search(r"[\d)]$", text):
+            return None
+        return float(eval(text + ")" * depth))
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", N.evaluate(F.col("t")).alias("v")).collect()
+    assert all(r.v == plain(r.t) for r in rows) and sum(r.v is None for r in rows) > 20
 
 
 @pytest.mark.parametrize("length,unit,want", [(2100.0, "mm", 2.1), (250.0, "cm", 2.5), (3.0, "m", 3.0), (2500.0, None, 2.5), (2.5, None, 2.5)])
@@ -65,5 +94,5 @@ def test_segments_and_mass(spark):
 
 def test_units_and_fingerprint(spark):
     assert [value(spark, h, N.length_unit) for h in ("CD (MM)", "L (cm)", "TONG (M)", "SO LUONG")] == ["mm", "cm", "m", None]
-    assert value(spark, "D1O5 l2", N.digit_fingerprint) == "10512"
+    assert value(spark, "D1O5 c6 \\times 2", N.digit_fingerprint) == "1052"
     assert [value(spark, v, lambda c: N.canonical_value(c.cast("double"))) for v in ("1525", "1525.81", "-0.5")] == ["1525", "1525.81", "-0.5"]
