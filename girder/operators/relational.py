@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,15 +23,23 @@ def page_range(value: Column, total: Column) -> Column:
 
 
 def select_pages(pages: DataFrame, value: str, page: str = "page") -> DataFrame:
-    """A1: the pages of a range; the range is checked against the largest page."""
+    """A1: the pages of a range; the range is checked against the largest page. A blank one means all.
+
+    Only the parts of the range go to the executors, as a filter that the source can apply.
+    """
     top = pages.agg(F.max(page).cast("int").alias("top"))
-    chosen = top.select(F.explode(page_range(F.lit(value), F.col("top"))).alias(page))
-    return pages.join(F.broadcast(chosen), page, "left_semi")
+    checked = top.select(F.size(page_range(F.lit(value), F.col("top"))).alias("n")).first()
+    parts = [part.split("-") for part in re.sub(r"\s+", "", value or "").split(",") if part]
+    if not parts or checked is None:
+        return pages.where(F.col(page).isNotNull())
+    return pages.where(reduce(or_, (F.col(page).between(int(p[0]), int(p[-1])) for p in parts)))
 
 
 def object_stats(objects: DataFrame, kinds: list[str]) -> DataFrame:
-    """A5: by page the number of objects of each kind, and the share of its area that images cover."""
-    return objects.groupBy("page").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.round(F.coalesce(F.sum(F.when(F.col("kind") == "image", F.col("area"))), F.lit(0.0)) / F.first("page_area"), 6).alias("image_share"))
+    """A5: by page, of each document if ``objects`` name it, the number of objects of each kind, and the
+    share of its area that images cover."""
+    by = [c for c in ("doc_id", "page") if c in objects.columns]
+    return objects.groupBy(*by).agg(*(F.count_if(F.col("kind") == k).alias(k) for k in kinds), F.round(F.coalesce(F.sum(F.when(F.col("kind") == "image", F.col("area"))), F.lit(0.0)) / F.first("page_area"), 6).alias("image_share"))
 
 
 def ocr_route(chars: Column, image_share: Column, vectors: Column, longest_side: Column) -> Column:

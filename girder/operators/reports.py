@@ -22,10 +22,12 @@ def warning_labels(warnings: DataFrame) -> DataFrame:
 
 
 def audit_report(warnings: DataFrame) -> DataFrame:
-    """(page, n, text) by page: each warning with its label, in order of rows."""
+    """([doc_id,] page, n, text) by page, of each document if ``warnings`` name it: each warning with
+    its label, in order of rows."""
+    by = [c for c in ("doc_id", "page") if c in warnings.columns]
     line = F.concat(F.lit("- `"), F.col("label"), F.lit("` "), F.col("mark"), F.lit(": "), F.col("message"))
     lines = F.transform(F.sort_array(F.collect_list(F.struct("table_id", "row", "kind", line.alias("line")))), lambda x: x["line"])
-    return warning_labels(warnings).groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "\n").alias("text")).orderBy("page")
+    return warning_labels(warnings).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_join(lines, "\n").alias("text")).orderBy(*by)
 
 
 def sheet_index(pages: DataFrame) -> DataFrame:

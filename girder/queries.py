@@ -61,8 +61,8 @@ WITH mass(d, kg) AS (VALUES {_MASS}),
 rows AS (SELECT p_size AS d, l_quantity * coalesce(kg, p_size * p_size / 162.0) AS kg FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN mass ON d = p_size)
 SELECT coalesce(CASE WHEN d <= 10 THEN 'd_le_10' WHEN d <= 18 THEN 'd_le_18' ELSE 'd_gt_18' END, 'ALL') AS bucket, count(*) AS n, round(sum(kg), 2) AS kg FROM rows
 GROUP BY ROLLUP (CASE WHEN d <= 10 THEN 'd_le_10' WHEN d <= 18 THEN 'd_le_18' ELSE 'd_gt_18' END)""")
-def bbs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bars by diameter bucket and in all. Quantities are summed by part before the join."""
+def bar_mass_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mass by diameter bucket and in all. Quantities are summed by part before the join."""
     by_part = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("metres"))
     rows = N.bar_mass_join(spark, by_part.join(_read(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey"), "p_size")
     bucket = F.when(F.col("p_size") <= 10, "d_le_10").when(F.col("p_size") <= 18, "d_le_18").otherwise("d_gt_18")
@@ -70,16 +70,6 @@ def bbs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.rollup("bucket").agg(F.sum("n").alias("n"), F.round(F.sum("kg"), 2).alias("kg")).select(F.coalesce("bucket", F.lit("ALL")).alias("bucket"), "n", "kg")
 
 
-@query("""
-SELECT l_returnflag AS flag, count(*) AS total_items, count(*) FILTER (l_extendedprice > 0 AND abs(l_quantity * p_retailprice - l_extendedprice) / l_extendedprice > 0.05) AS warned, round(sum(l_extendedprice), 2) AS total_amount
-FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""")
-def boq_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """quantity x price against the amount."""
-    rows = _read(spark, sf_dir, "lineitem").join(_read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    off = (F.col("l_extendedprice") > 0) & (F.abs(F.col("l_quantity") * F.col("p_retailprice") - F.col("l_extendedprice")) / F.col("l_extendedprice") > 0.05)
-    return rows.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count(F.lit(1)).alias("total_items"), F.count_if(off).alias("warned"), F.round(F.sum("l_extendedprice"), 2).alias("total_amount"))
-
-
 _SCHEDULE_HEADER = ["Số hiệu", "Đường kính (mm)", "Chiều dài (mm)", "Số lượng", "Trọng lượng (kg)"]
 
 
@@ -117,11 +107,20 @@ def audit_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{_SCHEDULE_SQL}
-SELECT count(*) AS bars, sum(q)::BIGINT AS pieces, round(sum(calc), 0) AS kg FROM rows WHERE len > 0""")
+SELECT count(*) AS bars, sum(q)::BIGINT AS pieces, round(sum(calc), 0) AS kg, round(sum(calc) / 1000, 1) AS tonnes FROM rows WHERE len > 0""")
 def rebar_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """bars of all schedules."""
-    items = audit.audit_rebar(_schedules(spark, sf_dir)).items
-    return items.agg(F.count(F.lit(1)).alias("bars"), F.sum("quantity").alias("pieces"), F.round(F.sum("total_weight_kg"), 0).alias("kg"))
+    made = audit.totals(audit.audit_rebar(_schedules(spark, sf_dir)).items)
+    return made.select("bars", "pieces", F.round("kg", 0).alias("kg"), F.round("tonnes", 1).alias("tonnes"))
+
+
+@query(f"""{_SCHEDULE_SQL}
+SELECT coalesce(b, 'ALL') AS bucket, round(sum(calc) / 1000, 0) AS tonnes FROM (SELECT calc, CASE WHEN d <= 10 THEN 'd_le_10' WHEN d <= 18 THEN 'd_le_18' ELSE 'd_gt_18' END AS b FROM rows WHERE len > 0) GROUP BY ROLLUP (b)""")
+def bbs_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tonnes of all schedules by diameter bucket, and in all. (Sums of tables are rounded
+    to the even hundredth of a kilogram, which SQL can't say; in whole tonnes that doesn't show.)"""
+    made = audit.bucket_rollup(audit.audit_rebar(_schedules(spark, sf_dir)).summary)
+    return made.select("bucket", F.round(F.col("kg") / 1000, 0).alias("tonnes"))
 
 
 @query("""
@@ -261,10 +260,10 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _texts(spark, sf_dir).select("lang", F.size(ts).alias("n"), F.size(F.array_distinct(ts)).alias("d")).groupBy("lang").agg(F.sum("n").alias("n_tokens"), F.sum("d").alias("n_distinct"), F.max("n").alias("most"))
 
 
-@query(f"SELECT doc_id, md5(translate(text, '{T._TCVN3[0]}', '{T._TCVN3[1]}')) AS decoded FROM documents")
+@query(f"SELECT doc_id, md5(translate('C«ng tr×nh ®­êng bé ' || text, '{T._TCVN3[0]}', '{T._TCVN3[1]}')) AS decoded FROM documents")
 def tcvn3_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Letter by letter."""
-    return _texts(spark, sf_dir).select("doc_id", F.md5(T.tcvn3(F.col("text"))).alias("decoded"))
+    """Letter by letter; each text has a few words of the code in front."""
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.tcvn3(F.concat(F.lit("C«ng tr×nh ®­êng bé "), "text"))).alias("decoded"))
 
 
 @query(f"""
@@ -346,7 +345,7 @@ def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes sections with merged bullets; the sentences of each benchmark text stand for bullets."""
     items = _texts(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("## Ghi chú\n- "), F.regexp_replace("text", r"[.\n]\s*", "\n- ")).alias("markdown"))
-    return cleaning.postprocessed(items).select("item_id", "lines_before", "lines_after", "chars_before", "chars_after")
+    return cleaning.postprocessed(items, doc_id="item_id").select("item_id", "lines_before", "lines_after", "chars_before", "chars_after")
 
 
 @query()
@@ -388,17 +387,31 @@ def search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(spark, sf_dir).select("query_id", "rank", "doc_id", "score")
 
 
-@query()
+def _cited_sql(rest: str) -> str:
+    """SQL over ``found``: the rows of the search with what is cited and the text."""
+    cite = "'Trang ' || n_chars || CASE WHEN lang <> '' THEN ' • Bản vẽ ' || lang ELSE '' END || CASE WHEN source <> '' THEN ' • ' || source ELSE '' END"
+    return f"WITH hits AS ({_search_sql()}),\nfound AS (SELECT query_id, rank, {cite} AS cite, text FROM hits JOIN documents USING (doc_id)),\n{rest}"
+
+
+@query(_cited_sql(f"""
+q(query_id, q) AS (VALUES {", ".join(f"({i}, '{q}')" for i, q in QUESTIONS)}),
+ev AS (SELECT query_id, string_agg('[' || rank || '] (' || cite || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS evidence FROM found GROUP BY 1),
+past AS (SELECT conv_id AS query_id, count(*) AS n, string_agg(role || ':' || text, chr(31) ORDER BY turn, role, text) AS said FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations) WHERE back <= 4 GROUP BY 1)
+SELECT q.query_id, (2 + coalesce(n, 0))::INTEGER AS n_messages, md5(concat_ws(chr(31), 'system:{retrieval.SYSTEM}', said, 'user:' || coalesce('Evidence:' || chr(10) || evidence || chr(10) || chr(10), '') || 'Question: ' || q)) AS messages_md5 FROM q LEFT JOIN ev USING (query_id) LEFT JOIN past USING (query_id)"""))
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Instruction, history and evidence for each question."""
     history = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("int").alias("query_id"), "turn", "role", "text")
-    return retrieval.prompts(_found(spark, sf_dir), spark.createDataFrame(QUESTIONS, "query_id int, query string"), history)
+    made = retrieval.prompts(_found(spark, sf_dir), spark.createDataFrame(QUESTIONS, "query_id int, query string"), history)
+    said = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\x1f")
+    return made.select("query_id", F.size("messages").alias("n_messages"), F.md5(said).alias("messages_md5"))
 
 
-@query()
+@query(_cited_sql("""
+kept AS (SELECT query_id, rank, cite, array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT starts_with(x, '[Nguồn:')), chr(10)) AS text FROM found WHERE rank <= 3)
+SELECT query_id, md5(string_agg('**' || cite || '**' || chr(10) || trim(text, ' '), chr(10) || chr(10) ORDER BY rank)) AS answer_md5 FROM kept GROUP BY 1"""))
 def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers from the three best documents."""
-    return retrieval.extractive_answers(_found(spark, sf_dir))
+    return retrieval.extractive_answers(_found(spark, sf_dir)).select("query_id", F.md5("answer").alias("answer_md5"))
 
 
 @query()
@@ -535,7 +548,7 @@ def topk_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT user_id AS page, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, 0.0::DOUBLE AS image_share FROM events GROUP BY 1""")
+SELECT user_id AS page, count(*) FILTER (kind = 'image') AS image, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, round(count(*) FILTER (event_type = 'click') / 400.0, 6) AS image_share FROM (SELECT *, CASE WHEN event_type = 'click' THEN 'image' ELSE event_type END AS kind FROM events) GROUP BY 1""")
 def object_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: objects of a page by kind."""
-    return relational.object_stats(_read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.col("event_type").alias("kind"), F.lit(1.0).alias("area"), F.lit(100.0).alias("page_area")), ["click", "view", "purchase"])
+    return relational.object_stats(_read(spark, sf_dir, "events").select(F.col("user_id").alias("page"), F.when(F.col("event_type") == "click", "image").otherwise(F.col("event_type")).alias("kind"), F.lit(1.0).alias("area"), F.lit(400.0).alias("page_area")), ["image", "view", "purchase"])

@@ -74,10 +74,10 @@ def rules(spark: SparkSession, path: str, stage: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pdf", "xlsx", "docx", "json")) -> DataFrame:
-    """Files below a folder, each once: path, name, suffix, size, content (read only if asked for)."""
+    """Files below a folder, each once, as a listing has them: path, name, suffix, size, content (read only if asked for)."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    return rows.dropDuplicates(["path"]).select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.(\w+)$", 1)).alias("suffix"), F.col("length").alias("size"), "content")
+    return rows.select("path", name.alias("name"), F.lower(F.regexp_extract(name, r"\.(\w+)$", 1)).alias("suffix"), F.col("length").alias("size"), "content")
 
 
 def result_files(spark: SparkSession, path: str) -> DataFrame:

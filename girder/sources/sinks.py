@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, reports
@@ -114,9 +114,31 @@ def workbooks(tables: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def save_knowledge(path: str, **frames: DataFrame) -> None:
-    """Knowledge tables, each written beside the old one first; readers take the newest version."""
+    """Knowledge tables, each as a new version beside those before, which stay as they are.
+
+    A version counts once it is whole (its ``_SUCCESS`` is there), so a write that fails loses
+    nothing, and a table may be read, merged and saved again.
+    """
     for name, df in frames.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        last = max(_versions(df.sparkSession, f"{path}/{name}", whole=False), default=0)
+        df.write.parquet(f"{path}/{name}/v{last + 1:08d}")
+
+
+def knowledge(spark: SparkSession, path: str, name: str) -> DataFrame | None:
+    """The newest whole version of a knowledge table, or None if there is none."""
+    last = max(_versions(spark, f"{path}/{name}", whole=True), default=None)
+    return None if last is None else spark.read.parquet(f"{path}/{name}/v{last:08d}")
+
+
+def _versions(spark: SparkSession, folder: str, whole: bool) -> list[int]:
+    """Numbers of a folder's versions; the listing goes to the file system that the path names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return []
+    found = [entry.getPath() for entry in files.listStatus(at)]
+    mark = spark._jvm.org.apache.hadoop.fs.Path
+    return [int(p.getName()[1:]) for p in found if p.getName()[:1] == "v" and p.getName()[1:].isdigit() and (not whole or files.exists(mark(p, "_SUCCESS")))]
 
 
 def append_corrections(pairs: DataFrame, path: str) -> None:
