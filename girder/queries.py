@@ -128,7 +128,7 @@ SELECT l_returnflag AS flag, count(*) AS n, sum(carried)::BIGINT AS total FROM (
   SELECT l_returnflag, last_value(CASE WHEN l_linestatus = 'F' THEN CAST(l_quantity AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate ROWS UNBOUNDED PRECEDING) AS carried FROM lineitem)
 WHERE carried IS NOT NULL GROUP BY 1""")
 def diameter_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last value above, where there is one."""
+    """The last value above, where there is one, by a window (the audit carries diameters within a row: see ``audit_kinds``)."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate").rowsBetween(Window.unboundedPreceding, 0)
@@ -335,7 +335,7 @@ WITH lines AS (SELECT doc_id, i, t FROM (SELECT doc_id, unnest(string_split(text
 k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, left(trim(regexp_replace(lower({_FOLD.format("t")}), '\\s+', ' ', 'g')), 60) ORDER BY i) AS n FROM lines)
 SELECT doc_id, count(*) AS lines, count(*) FILTER (n = 1) AS distinct_lines FROM k GROUP BY 1""")
 def distinct_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a document that are first of their key."""
+    """V2: lines of a document that are first of their key."""
     lines = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("slot", "text"))
     first = cleaning.first_by_key(lines, "doc_id", "slot").groupBy("doc_id").agg(F.count(F.lit(1)).alias("distinct_lines"))
     return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines")).join(first, "doc_id")
@@ -529,7 +529,7 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT date_trunc('second', ts) AS second, arg_max(event_type, ts::VARCHAR || lpad(event_id::VARCHAR, 20, '0')) AS message, count(*) AS n FROM events GROUP BY 1""")
 def event_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last message of each second; the batch twin of the stream."""
+    """The last message of each second; the batch twin of the stream."""
     return relational.throttled(_read(spark, sf_dir, "events"), "event_type").withColumn("second", F.col("second").cast("timestamp_ntz"))
 
 
