@@ -204,11 +204,13 @@ def plain_maximal(words, least=4):
 
 def plain_verdict(text):
     """kept, by the definition of the rules alone."""
+    if plain_repetition(text)[-1]:
+        return False
     words = (text or "").encode().split()
     found = plain_maximal(words)
     covered = {j for gram, at in found.items() for i in at for j in range(i, i + len(gram))}
     longest = max(map(len, found), default=0)
-    return not plain_repetition(text)[-1] and len(covered) <= 0.3 * len(words) and longest <= 0.2 * len(words)
+    return len(covered) <= 0.3 * len(words) and longest <= 0.2 * len(words)
 
 
 def test_repetition_query(spark):
@@ -345,6 +347,28 @@ def test_pipeline(spark):
     assert Counter(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == Counter(r.doc_id for r in last)
 
 
+def test_pipeline_odd(spark, odd, empty, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing columns from end to end, and an empty table."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(12)]
+    more = [(100 + i % 9, t, None if i % 4 else "de", [None, "a", "x"][i % 3], None) for i, t in enumerate(texts)] * 2 + [(None, texts[0], "en", "a", 1), (None, None, None, None, None)]
+    docs = odd.unionByName(spark.createDataFrame([(*r, 1, 2, 3) for r in more], odd.schema))
+    for name, df in (("odd", docs), ("empty", empty)):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+    rows = docs.collect()
+    good = [r for r in rows if plain_verdict(r.text)]
+    comps = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in good])
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert good and {r.doc_id for r in out} <= set(comps) and len({r.doc_id for r in out}) > 3
+    encoding, _, _ = tik()
+    known = {digests(encoding, r.text): r for r in good}
+    assert all((r.n_tokens, r.ids_sha256, r.decoded_sha256) in known for r in out)
+    assert max(Counter((r.doc_id, r.decoded_sha256) for r in out).values()) <= 2
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_deduplicated_odd(spark, odd, empty):
     rows = simhash.deduplicated(odd).collect()
     docs = odd.collect()
