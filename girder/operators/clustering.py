@@ -18,11 +18,18 @@ def islands(df: DataFrame, group: list[str], order: list[str], starts: Column, n
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def edge_clusters(values: DataFrame, group: str, value: str, tolerance: float, ties: list[str] | None = None) -> DataFrame:
-    """(group, cluster, n, mean): values chained by gaps of up to ``tolerance``."""
-    w = Window.partitionBy(group).orderBy(value, *(ties or []))
-    marked = islands(values, [group], [value, *(ties or [])], F.coalesce(F.col(value) - F.lag(value).over(w) > tolerance, F.lit(False)), "cluster")
-    return marked.groupBy(group, "cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
+def edge_clusters(values: DataFrame, group: str, value: str, tolerance: float) -> DataFrame:
+    """(group, cluster, n, mean): values chained by gaps of up to ``tolerance``; nulls are left out.
+
+    Values within half a tolerance of each other are in one chain, so they are summed up by such steps
+    before the shuffle; the window runs over steps, whose number follows the range of the values and
+    not how many there are.
+    """
+    at = F.floor(F.col(value) / (tolerance / 2)) if tolerance > 0 else F.col(value)
+    steps = values.where(F.col(value).isNotNull()).groupBy(group, at.alias("__at")).agg(F.min(value).alias("__low"), F.max(value).alias("__high"), F.count(F.lit(1)).alias("__n"), F.sum(value).alias("__sum"))
+    gap = F.col("__low") - F.lag("__high").over(Window.partitionBy(group).orderBy("__at"))
+    marked = islands(steps, [group], ["__at"], F.coalesce(gap > tolerance, F.lit(False)), "cluster")
+    return marked.groupBy(group, "cluster").agg(F.sum("__n").alias("n"), (F.sum("__sum") / F.sum("__n")).alias("mean"))
 
 
 def row_islands(rows: DataFrame, group: str, row: str = "row") -> DataFrame:

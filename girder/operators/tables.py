@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import UNITS, is_number_cell, number_style, parse_number
+from ..functions.numbers import UNITS, is_number_cell, let, number_style, parse_number
 from ..functions.text import count_hits, fold_key, fold_upper, has_any
 from .clustering import lines_of
 
@@ -65,19 +65,23 @@ def has_rebar_signature(headers: Column) -> Column:
 
 def classify(title: Column, header: Column, rows: Column) -> Column:
     """F2: struct (category, confidence); of equal scores the first category wins."""
-    headers = folded_header(header)
-    folded_title, joined = fold_upper(F.coalesce(title, F.lit(""))), F.array_join(headers, " ")
-    sample = F.array_join(F.transform(F.flatten(F.slice(F.coalesce(rows, F.array().cast("array<array<string>>")), 1, 5)), lambda c: fold_upper(F.coalesce(c, F.lit("")))), " ")
-    signature = has_rebar_signature(headers)
-    raw = F.array_join(F.coalesce(header, F.array().cast("array<string>")), " ")
-    extra = {"rebar_schedule": F.when(raw.rlike("[ΦφØø]|Fi|fi"), 40).otherwise(0) + F.when(signature, 70).otherwise(0), "boq": F.when(signature, -60).otherwise(0)}
-    scores = {c: F.when(has_any(folded_title, TITLE_WORDS[c]), TITLE_POINTS[c]).otherwise(0) + count_hits(joined, HEADER_WORDS[c]) * HEADER_POINTS[c] + extra.get(c, F.lit(0)) for c in TITLE_WORDS}
-    best = F.greatest(*scores.values())
-    category = F.when(best < 40, "general")
-    for c, score in scores.items():
-        category = category.when(score == best, c)
-    veto = count_hits(F.concat_ws(" ", folded_title, joined, sample), TITLE_BLOCK) >= 2
-    return F.struct(F.when(veto, "title_block").otherwise(category).alias("category"), F.when(veto, 0.99).when(best < 40, 0.3).otherwise(F.least(F.lit(1.0), best / 100.0)).alias("confidence"))
+    none = F.array().cast("array<string>")
+    sample = F.transform(F.flatten(F.slice(F.coalesce(rows, F.array().cast("array<array<string>>")), 1, 5)), lambda c: F.coalesce(c, F.lit("")))
+    named = F.struct(fold_upper(F.coalesce(title, F.lit(""))).alias("title"), folded_header(header).alias("headers"), F.array_join(F.coalesce(header, none), " ").alias("raw"), fold_upper(F.array_join(sample, " ")).alias("sample"))
+
+    def scored(x: Column) -> Column:
+        """What each category scores, in the order of the categories, and hits of title blocks."""
+        joined, signature = F.array_join(x["headers"], " "), has_rebar_signature(x["headers"])
+        extra = {"rebar_schedule": F.when(x["raw"].rlike("[ΦφØø]|Fi|fi"), 40).otherwise(0) + F.when(signature, 70).otherwise(0), "boq": F.when(signature, -60).otherwise(0)}
+        of = lambda j: F.array(*(F.when(has_any(x["title"], TITLE_WORDS[c]), TITLE_POINTS[c]).otherwise(0) + count_hits(j, HEADER_WORDS[c]) * HEADER_POINTS[c] + extra.get(c, F.lit(0)) for c in TITLE_WORDS))
+        return let(joined, lambda j: F.struct(of(j).alias("scores"), let(F.concat_ws(" ", x["title"], j, x["sample"]), lambda t: count_hits(t, TITLE_BLOCK)).alias("blocks")))
+
+    def decided(x: Column) -> Column:
+        best = lambda b: F.struct(F.when(b < 40, "general").otherwise(F.element_at(F.array(*map(F.lit, TITLE_WORDS)), F.array_position(x["scores"], b).cast("int"))).alias("category"), F.when(b < 40, 0.3).otherwise(F.least(F.lit(1.0), b / 100.0)).alias("confidence"))
+        veto = F.struct(F.lit("title_block").alias("category"), F.lit(0.99).alias("confidence"))
+        return F.when(x["blocks"] >= 2, veto).otherwise(let(F.array_max(x["scores"]), best))
+
+    return let(let(named, scored), decided)
 
 
 def classified(tables: DataFrame) -> DataFrame:

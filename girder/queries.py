@@ -498,7 +498,7 @@ c AS (SELECT event_type, value, sum(cut) OVER (PARTITION BY event_type ORDER BY
 SELECT event_type, cluster, count(*) AS n, round(avg(value), 6) AS mean FROM c GROUP BY 1, 2""")
 def edge_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chains of values."""
-    return clustering.edge_clusters(_read(spark, sf_dir, "events"), "event_type", "value", 0.05, ["event_id"]).withColumn("mean", F.round("mean", 6))
+    return clustering.edge_clusters(_read(spark, sf_dir, "events"), "event_type", "value", 0.05).withColumn("mean", F.round("mean", 6))
 
 
 @query("""
