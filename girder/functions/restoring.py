@@ -159,22 +159,45 @@ VNI_MARKS = {"ù": "́", "ø": "̀", "û": "̉", "õ": "̃", "ï": "̣", "â": "
 VNI_LETTERS = {"ñ": "đ", "Ñ": "Đ", "ö": "ư", "Ö": "Ư", "ô": "ơ", "Ô": "Ơ", "ò": "ị", "æ": "ỉ", "î": "ỵ", "í": "í", "ì": "ì", "ó": "ĩ"}
 
 
+#: Letters that a mark may stand on: those with a hat, those with a breve, and those with a tone alone.
+_CARRIERS = (("\u0302", "aeo"), ("\u0306", "a"), ("", "aeiouy"))
+
+
+def vni_letters(text: str) -> list[tuple[str, list[int]]]:
+    """Letters of a VNI text in Unicode, each with the places in ``text`` that it is made of."""
+    out: list[tuple[str, list[int]]] = []
+    for i, c in enumerate(text):
+        mark = VNI_MARKS.get(c.lower())
+        letter, at = out[-1] if out else ("", [])
+        if mark and letter:
+            shape, carriers = next((s, x) for s, x in _CARRIERS if s in mark)
+            held = unicodedata.normalize("NFD", letter)
+            if plain(letter).lower() in tuple(carriers) and not (shape and ("\u0302" in held or "\u0306" in held)):
+                out[-1] = (unicodedata.normalize("NFC", held + mark), [*at, i])
+                continue
+        out.append((VNI_LETTERS.get(c, c), [i]))
+    return out
+
+
 def vni(text: str) -> str:
     """VNI letters and the marks after them to Unicode."""
-    out: list[str] = []
-    for c in text:
-        mark = VNI_MARKS.get(c.lower())
-        if mark and out and plain(out[-1])[:1].lower() in "aeouy":
-            out[-1] = unicodedata.normalize("NFC", out[-1] + mark)
-        else:
-            out.append(VNI_LETTERS.get(c, c))
-    return "".join(out)
+    return "".join(letter for letter, _ in vni_letters(text))
 
 
 def decoded_vni(column: Column) -> Column:
     return _mapped(column, vni)
 
 
+def vni_sources(column: Column) -> Column:
+    """D14 as a column: letters (text, sources), to merge the boxes of a letter and its marks."""
+
+    @F.pandas_udf("array<struct<text:string,sources:array<int>>>")
+    def run(text: pd.Series) -> pd.Series:
+        return text.map(lambda t: None if t is None else [{"text": x, "sources": at} for x, at in vni_letters(t)])
+
+    return run(column)
+
+
 # --- Two readings of one text.
 
 # Words of stamps, signs that a second reader gets wrong, scripts that a second reading

@@ -41,6 +41,9 @@ def test_verified_and_corrections(spark):
 
 def test_encodings(spark):
     assert R.vni("Coäng hoøa") == "Cộng hòa" and R.vni("ñöôøng") == "đường"
+    assert R.vni_letters("Coäng") == [("C", [0]), ("ộ", [1, 2]), ("n", [3]), ("g", [4])] and R.vni("ùa bù") == "ùa bù"
+    letters = spark.createDataFrame([("hoøa",), (None,)], "t string").select(R.vni_sources(F.col("t")).alias("v")).collect()
+    assert [(x.text, x.sources) for x in letters[0].v] == [("h", [0]), ("ò", [1, 2]), ("a", [3])] and letters[1].v is None
     df = spark.createDataFrame([("C«ng tr×nh ®­êng bé",), ("Công trình đường bộ",)], "t string").select(T.tcvn3(F.col("t")).alias("u"), T.looks_like_tcvn3(F.col("t")).alias("old"))
     assert [tuple(r) for r in df.collect()][0] == ("Công trình đường bộ", True) and df.collect()[1].old is False
     assert spark.createDataFrame([("ệ",)], "t string").select(T.composed(F.col("t")).alias("c")).first().c == "ệ"
