@@ -168,6 +168,16 @@ def test_places(spark, empty):
     assert common.places(empty.select("source")).count() == 0
 
 
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace as Stub
+
+    made = []
+    on = lambda master: Stub(sparkContext=Stub(master=master, getCheckpointDir=lambda: None, setCheckpointDir=made.append), conf=Stub(get=lambda *_: None))
+    with pytest.raises(RuntimeError, match="share"):
+        common.shared_folder(on("spark://host:7077"))
+    assert common.shared_folder(on("local[4]")) == made[0]
+
+
 def test_words_are_bytes_split(spark, odd):
     for r in odd.select("text", word_count(odd.text).alias("n")).collect():
         assert r.n == len((r.text or "").encode().split())
