@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import UNITS, is_number_cell, let, number_style, parse_number
+from ..functions.numbers import UNITS, is_number_cell, let, number_style, parse_number, style_votes
 from ..functions.text import count_hits, fold_key, fold_upper, has_any
 from .clustering import lines_of
 
@@ -110,8 +110,13 @@ def number_styles(tables: DataFrame) -> DataFrame:
 
 
 def with_values(tables: DataFrame) -> DataFrame:
-    """``tables`` with ``number_style`` and ``values``, the numbers of cells in that style."""
-    styled = tables.drop("number_style").join(number_styles(tables), "table_id", "left").withColumn("number_style", F.coalesce("number_style", F.lit("vn")))
+    """``tables`` with ``number_style`` and ``values``, the numbers of cells in that style.
+
+    A table's cells are in its row, so its style is found there, without a join.
+    """
+    votes = lambda rows: F.transform(F.flatten(F.filter(rows, lambda r: r.isNotNull())), lambda c: F.struct(*(v.alias(n) for v, n in zip(style_votes(c), ("vn", "us"), strict=True))))
+    style = let(votes(F.col("rows")), lambda x: F.when(F.size(F.filter(x, lambda v: v["us"])) > F.size(F.filter(x, lambda v: v["vn"])), "us").otherwise("vn"))
+    styled = tables.withColumn("number_style", style)
     return styled.withColumn("values", F.transform("rows", lambda r: F.transform(r, lambda c: parse_number(c, F.col("number_style")))))
 
 
@@ -120,33 +125,53 @@ def split_header(grid: Column) -> Column:
 
     Empty rows and columns go and short rows are filled. Up to five rows with a header word, or with
     few numbers, at the top become the header, joined by column; a row of one text above is a title.
+    Each step is computed once and named; written out in the next ones, their cost multiplies.
     """
-    width = F.array_max(F.transform(grid, F.size))
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
-    full = F.transform(F.filter(grid, lambda r: F.exists(r, lambda c: ~blank(c))), lambda r: F.transform(F.sequence(F.lit(0), width - 1), lambda i: F.coalesce(F.trim(F.get(r, i)), F.lit(""))))
-    used = F.filter(F.sequence(F.lit(0), width - 1), lambda i: F.exists(full, lambda r: ~blank(F.get(r, i))))
-    rows = F.transform(full, lambda r: F.transform(used, lambda i: F.get(r, i)))
-    filled = lambda r: F.filter(r, lambda c: ~blank(c))
-    lone = F.size(F.array_distinct(filled(F.get(rows, F.lit(0))))) == 1
-    title = F.when(lone & (F.size(rows) > 2), F.get(filled(F.get(rows, F.lit(0))), F.lit(0)))
-    body = F.when(title.isNotNull(), F.slice(rows, F.lit(2), F.greatest(F.size(rows) - 1, F.lit(1)))).otherwise(rows)
+    filled = lambda r: F.filter(r, lambda c: c != "")
     data = lambda r: F.size(F.filter(r, is_number_cell)) * 2 >= F.size(filled(r))
-    named = lambda r: has_any(fold_key(F.array_join(r, " ")), GENUINE)
-    last = F.coalesce(F.array_min(F.transform(F.slice(body, 1, 6), lambda r, i: F.when((data(r) & ~((i == 0) & named(r))) | (i == 5), i))), F.lit(1))
-    head = F.greatest(F.lit(1), F.least(last, F.size(body) - 1))
-    header = F.transform(F.sequence(F.lit(0), F.size(used) - 1), lambda i: F.array_join(F.array_distinct(F.filter(F.transform(F.slice(body, F.lit(1), head), lambda r: F.get(r, i)), lambda c: ~blank(c))), " "))
-    return F.when((F.size(rows) >= 2) & (F.size(used) >= 2), F.struct(title.alias("title"), header.alias("header"), F.slice(body, head + 1, F.greatest(F.size(body) - head, F.lit(0))).alias("rows")))
+    named = lambda r: let(fold_key(F.array_join(r, " ")), lambda k: has_any(k, GENUINE))
+
+    def squared(g: Column) -> Column:
+        """Rows with a text, trimmed and filled up to the widest."""
+        some = F.filter(g, lambda r: F.exists(r, lambda c: ~blank(c)))
+        return let(F.sequence(F.lit(0), F.array_max(F.transform(g, F.size)) - 1), lambda at: F.transform(some, lambda r: F.transform(at, lambda i: F.coalesce(F.trim(F.get(r, i)), F.lit("")))))
+
+    def without_empty(full: Column) -> Column:
+        """Columns with a text."""
+        used = F.filter(F.sequence(F.lit(0), F.size(F.get(full, F.lit(0))) - 1), lambda i: F.exists(full, lambda r: F.get(r, i) != ""))
+        return let(used, lambda at: F.transform(full, lambda r: F.transform(at, lambda i: F.get(r, i))))
+
+    def titled(rows: Column) -> Column:
+        top = F.array_distinct(filled(F.get(rows, F.lit(0))))
+        title = let(top, lambda t: F.when((F.size(t) == 1) & (F.size(rows) > 2), F.get(t, F.lit(0))))
+        return let(title, lambda t: let(F.when(t.isNotNull(), F.slice(rows, F.lit(2), F.size(rows) - 1)).otherwise(rows), lambda body: let(head(body), lambda n: parts(t, body, n))))
+
+    def head(body: Column) -> Column:
+        """How many rows of the body are its header."""
+        last = F.coalesce(F.array_min(F.transform(F.slice(body, 1, 6), lambda r, i: F.when((data(r) & ~((i == 0) & named(r))) | (i == 5), i))), F.lit(1))
+        return F.greatest(F.lit(1), F.least(last, F.size(body) - 1))
+
+    def parts(title: Column, body: Column, n: Column) -> Column:
+        top = lambda rows: F.transform(F.sequence(F.lit(0), F.size(F.get(rows, F.lit(0))) - 1), lambda i: F.array_join(F.array_distinct(F.filter(F.transform(rows, lambda r: F.get(r, i)), lambda c: c != "")), " "))
+        return F.struct(title.alias("title"), let(F.slice(body, F.lit(1), n), top).alias("header"), F.slice(body, n + 1, F.greatest(F.size(body) - n, F.lit(0))).alias("rows"))
+
+    return let(let(let(grid, squared), without_empty), lambda rows: F.when((F.size(rows) >= 2) & (F.size(F.get(rows, F.lit(0))) >= 2), titled(rows)))
 
 
 def is_genuine_table(lines: Column) -> Column:
     """Whether lines (arrays of cell texts) are a table and not prose in columns."""
-    flat = F.transform(F.flatten(lines), F.trim)
-    n = F.size(flat)
-    average = n / F.size(lines)
-    short = F.size(F.filter(flat, lambda t: is_number_cell(t) | (F.length(t) <= 15)))
-    long = F.size(F.filter(flat, lambda t: F.length(t) > 35))
-    named = has_any(fold_key(F.array_join(flat, " ")), GENUINE)
-    return F.coalesce((F.size(lines) >= 2) & (average >= 2) & (long <= n * 0.15) & (((average >= 3) & (short >= n * 0.4)) | (named & (average >= 2.5))), F.lit(False))
+
+    def told(x: Column) -> Column:
+        flat, average = x["flat"], x["average"]
+        n = F.size(flat)
+        short = F.size(F.filter(flat, lambda t: is_number_cell(t) | (F.length(t) <= 15)))
+        long = F.size(F.filter(flat, lambda t: F.length(t) > 35))
+        named = let(fold_key(F.array_join(flat, " ")), lambda k: has_any(k, GENUINE))
+        return F.coalesce((x["lines"] >= 2) & (average >= 2) & (long <= n * 0.15) & (((average >= 3) & (short >= n * 0.4)) | (named & (average >= 2.5))), F.lit(False))
+
+    cut = lambda x: F.struct(F.size(x).alias("lines"), F.transform(F.flatten(x), F.trim).alias("flat"), (F.size(F.flatten(x)) / F.nullif(F.size(x), F.lit(0))).alias("average"))
+    return let(let(lines, cut), told)
 
 
 def bisect(edges: Column, at: Column) -> Column:

@@ -276,7 +276,7 @@ def tables_from_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.when(s % 3 == 0, F.array(row("STT", "Mác", "kg"), row("1", name, "3"))).when(s % 3 == 1, F.array(row("1", "2", "3", name), row("4", "5", "6", "7"))).otherwise(F.array(F.array(prose, prose), F.array(prose, prose)))
     title = F.concat(F.lit("Bảng "), s.cast("string"))
     grid = F.array(F.array(title, title, title), row("", "", ""), row("STT", "Khối lượng", "Ghi chú"), row("", "(kg)", ""), F.array(F.lit("1"), F.format_string("%d,50", s), F.lit("")), row("2", "x"))
-    parts = _read(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("table_id"), F.md5(markdown).alias("markdown_md5"), tables.is_genuine_table(lines).alias("genuine"), tables.split_header(grid).alias("t")).select("*", "t.title", "t.header", "t.rows").drop("t")
+    parts = _texts(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").alias("table_id"), F.md5(markdown).alias("markdown_md5"), tables.is_genuine_table(lines).alias("genuine"), tables.split_header(grid).alias("t")).select("*", "t.title", "t.header", "t.rows").drop("t")
     total = F.aggregate("values", F.lit(0.0), lambda a, r: a + F.coalesce(F.get(r, F.lit(1)), F.lit(0.0)))
     return tables.with_values(parts).select("p_partkey", "markdown_md5", "genuine", "title", F.md5(F.array_join("header", ",")).alias("header_md5"), F.size("rows").alias("n_rows"), total.alias("total"))
 

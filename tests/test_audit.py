@@ -98,6 +98,20 @@ def test_grid_to_table(spark):
     assert spark.createDataFrame([([["a"]],)], "g array<array<string>>").select(T.split_header(F.col("g")).alias("t")).first().t is None
 
 
+def test_grid_steps_are_computed_once(spark):
+    # Steps written out in one another made the work of a grid grow as a power of its depth.
+    def plan(df):
+        return df._jdf.queryExecution().analyzed().toString()
+
+    df = spark.createDataFrame([([["STT", "Mác"], ["1", "2"]],), ([],)], "grid_cells array<array<string>>")
+    assert plan(df.select(T.split_header(F.col("grid_cells")).alias("t"))).count("grid_cells#") <= 3
+    genuine = df.select(T.is_genuine_table(F.col("grid_cells")).alias("t"))
+    assert plan(genuine).count("grid_cells#") <= 3 and [r.t for r in genuine.collect()] == [False, False]
+    cut = spark.createDataFrame([(1, [["1,525.81"], None, ["x"]]), (2, None), (None, [["25.5"]])], "table_id long, rows array<array<string>>")
+    made = T.with_values(cut)
+    assert "Join" not in plan(made) and [(r.number_style, r["values"]) for r in made.sort(F.col("table_id").asc_nulls_last()).collect()] == [("us", [[1525.81], None, [None]]), ("vn", None), ("us", [[25.5]])]
+
+
 def test_items_into_grid(spark):
     items = spark.createDataFrame([(1, 1, 5.0, 5.0, 0.0, "a"), (1, 1, 15.0, 5.0, 11.0, "c"), (1, 1, 14.0, 5.0, 10.0, "b"), (1, 1, 20.0, 20.0, 18.0, "d"), (1, 1, 99.0, 5.0, 0.0, "out")], "doc_id long, page int, cx double, cy double, x_min double, text string")
     grids = spark.createDataFrame([(1, 1, 0, [0.0, 10.0, 20.0], [0.0, 10.0, 20.0])], "doc_id long, page int, grid_id int, row_edges array<double>, col_edges array<double>")
