@@ -8,6 +8,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def page_range(value: Column, total: Column) -> Column:
@@ -83,6 +84,12 @@ def value_after_label(lines: DataFrame, inline: Column, is_label: Column, most:
     return out.where("__label").drop("__inline", "__label")
 
 
-def throttled(events: DataFrame, message: str, ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """The last message of each second, and how many there were."""
-    return events.groupBy(F.date_trunc("second", ts).alias("second")).agg(F.max_by(message, F.struct(ts, tie)).alias("message"), F.count(F.lit(1)).alias("n"))
+def throttled(events: DataFrame, message: str, ts: str = "ts", tie: str = "event_id", order: Column | None = None) -> DataFrame:
+    """The last message of each second, and how many there were.
+
+    The last one is that of the largest ``ts`` and ``tie``, or of the largest ``order`` that isn't null.
+    Times without a zone are cut without one; by that of the session, an hour that it skips would fall on the next.
+    """
+    fraction = F.make_dt_interval(secs=F.extract(F.lit("SECOND"), ts) % 1)
+    second = F.col(ts) - fraction if isinstance(events.schema[ts].dataType, TimestampNTZType) else F.date_trunc("second", ts)
+    return events.groupBy(second.alias("second")).agg(F.max_by(message, F.struct(ts, tie) if order is None else order).alias("message"), F.count(F.lit(1)).alias("n"))
