@@ -186,18 +186,37 @@ def better_of(a: Column, b: Column) -> Column:
 
 # Words that open a heading.
 HEADING_WORDS = "DỰ ÁN|GÓI THẦU|CÔNG TRÌNH|HẠNG MỤC|HỒ SƠ|PHẦN|CHƯƠNG|MỤC|DU AN|GOI THAU|CONG TRINH|HANG MUC|HO SO|PHAN|CHUONG|MUC"
-HEADING = rf"(?U)^(?:[0-9]{{1,2}}\.(?:[0-9]{{1,2}}\.?)*\s+[A-ZÀ-Ỹ]|[IVX]{{1,5}}\.\s|[a-e]\)\s|(?:{HEADING_WORDS})\b)"
+HEADING_NUMBER = r"[0-9]{1,2}\.(?:[0-9]{1,2}\.?)*\s+[A-ZÀ-Ỹ]|[IVX]{1,5}\.\s|[a-e]\)\s"
+HEADING = rf"(?U)^(?:{HEADING_NUMBER}|(?:{HEADING_WORDS})\b)"
+# Unicode's spaces, without tabs and ends of lines.
+SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
 
 
-def is_heading(text: Column) -> Column:
-    """A numbered or named heading, or a line in capitals; not a number."""
+def plain_spaces(text: Column) -> Column:
+    """``text`` without Unicode's spaces around it, in which patterns find the white space of ASCII only.
+
+    A vertical tab, a next line and Unicode's separators, which patterns of the JVM take for white space or
+    the end of a line, become question marks; the length stays.
+    """
+    return F.translate(F.trim(text, F.lit(SPACES)), "\x0b\x85\u2028\u2029", "????")
+
+
+def is_heading(text: Column, folded: bool = True) -> Column:
+    """A numbered or named heading, or a line in capitals; not a number.
+
+    Without ``folded`` the number has to stand there as written (``Í.`` isn't ``I.``), with white space of
+    ASCII behind it, and words don't make a heading.
+    """
     from .numbers import is_number_cell
 
     t = F.trim(text)
-    first = F.split(t, r"\s+")[0]
     letters_ = F.regexp_count(t, F.lit(r"\p{L}"))
-    named = t.rlike(HEADING) | (first.rlike(r"\p{Lu}") & ~first.rlike(r"\p{Ll}") & fold_upper(t).rlike(HEADING))
     capitals = (letters_ >= 8) & ~t.rlike(r"\p{Ll}") & ~t.rlike(r"\d{3,}")
+    if folded:
+        first = F.split(t, r"\s+")[0]
+        named = t.rlike(HEADING) | (first.rlike(r"\p{Lu}") & ~first.rlike(r"\p{Ll}") & fold_upper(t).rlike(HEADING))
+    else:
+        named = t.rlike(f"^(?:{HEADING_NUMBER})")
     return F.coalesce((t != "") & (F.length(t) <= 120) & ~is_number_cell(t) & (named | capitals), F.lit(False))
 
 

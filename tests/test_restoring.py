@@ -163,3 +163,9 @@ def test_dedup(spark):
     assert {r.slot for r in C.first_by_key(lines, "g", "slot").collect()} == {1, 3}
     out = C.postprocessed(spark.createDataFrame([(1, "## Ghi chú\n- a b\n- a b")], "doc_id long, markdown string")).first()
     assert (out.lines_before, out.lines_after) == (3, 2)
+
+
+def test_headings_by_words_and_folded_numbers(spark):
+    df = spark.createDataFrame([("Í. Phần đầu",), ("MỤC 2 về đất",), ("1.\u00a0Abc",), ("1.\x20Abc",), ("công trình hay",)], "t string")
+    rows = df.select(T.is_heading(F.col("t")).alias("h"), T.is_heading(T.plain_spaces(F.col("t")), folded=False).alias("p")).collect()
+    assert [r.h for r in rows] == [True, True, True, True, False] and [r.p for r in rows] == [False, False, False, True, False]
